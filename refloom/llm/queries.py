@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from refloom.llm import decontamination, licenses, sharding
+from refloom.llm import bpe, decontamination, licenses, sharding, simhash
 from refloom.llm.common import table
 
+#: The vocabulary of op10, in the folder of public tokenizers.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -22,5 +27,14 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("k_id AS doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op6_license_scan)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.k_id").alias("component_id"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op6_license_scan, op9_simhash, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
