@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: States and known pairs kept at most, and known words of each of two generations.
 MAX_STATES, MAX_PAIRS, MAX_WORDS = 100_000, 300_000, 300_000
@@ -271,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     schema = texts.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path, pattern)

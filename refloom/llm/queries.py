@@ -6,18 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe, decontamination, licenses, sharding, simhash
+from refloom.llm import bpe, decontamination, licenses, line_dedup, quality_rules, rule_ensemble, sharding, simhash, toxicity, warc
 from refloom.llm.common import table
 
 #: The vocabulary of op10, in the folder of public tokenizers.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.classify(docs, rule_ensemble.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.selectExpr("k_id AS doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +41,15 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("k_id AS doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_chars", F.col("k_removed").alias("lines_removed"))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.k_id").alias("component_id"))
@@ -36,5 +59,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op6_license_scan, op9_simhash, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rule_ensemble, op2_decontamination, op3_quality_rules, op4_toxicity, op5_sharding, op6_license_scan, op7_line_dedup, op8_warc_derivatives,
+        op9_simhash, op10_byte_bpe,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
