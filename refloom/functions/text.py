@@ -24,7 +24,11 @@ def _latin() -> tuple[str, str, dict[str, str]]:
         bare = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)).casefold()
         bare = "".join(f" {S.GREEK[S.GREEK_LETTERS.index(c)]} " if c in S.GREEK_LETTERS else c for c in bare)
         if bare != char:
-            (one if len(bare) == 1 else several)[char] = bare
+            # Capitals that become several are lower-cased first.
+            if len(bare) == 1:
+                one[char] = bare
+            elif char == char.lower():
+                several[char] = bare
     return "".join(one), "".join(one.values()), several
 
 
@@ -32,8 +36,7 @@ _FROM, _TO, _SEVERAL = _latin()
 
 
 def resolve_latex(text: Column) -> Column:
-    for name in S.GREEK:
-        text = F.regexp_replace(text, rf"(?i)\\{name}(?![a-zA-Z])", f" {name} ")
+    text = F.regexp_replace(text, "(?i)" + S.LATEX_GREEK, " $1 ")
     text = F.regexp_replace(text, S.LATEX_ACCENT, "$1")
     text = F.regexp_replace(text, S.LATEX_COMMAND, " ")
     return F.translate(F.regexp_replace(text, "[{}]", ""), "$", " ")
@@ -41,15 +44,15 @@ def resolve_latex(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     for letter, by in S.TRANSLITERATED.items():
-        text = F.regexp_replace(text, letter, by)
+        text = F.replace(text, F.lit(letter), F.lit(by))
     # LaTeX is rare: a text without a backslash, brace or dollar sign skips seven and twenty patterns.
     text = F.when(text.rlike(r"[\\{}$]"), resolve_latex(text)).otherwise(text)
+    text = F.lower(F.translate(text, _FROM, _TO))
     spelt = text
     for char, by in _SEVERAL.items():
-        spelt = F.regexp_replace(spelt, char, by)
+        spelt = F.replace(spelt, F.lit(char), F.lit(by))
     text = F.when(text.rlike("[" + "".join(_SEVERAL) + "]"), spelt).otherwise(text)
-    text = F.lower(F.translate(text, _FROM, _TO))
-    text = F.regexp_replace(text, "&", " and ")
+    text = F.replace(text, F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(text, r"(?U)[\W_]+", " "))
 
 

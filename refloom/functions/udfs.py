@@ -58,9 +58,10 @@ def score_pair(cfg: Match = MATCH) -> Callable[..., Column]:
         for t, f, s, n, c, v, w in zip(cited, found, surnames, names, cut, venue, found_venue, strict=True):
             t, f, s, n = t or "", f or "", [] if s is None else list(s), [] if n is None else list(n)
             first = [strings.surname_key(x[0]) if x else "" for x in (s, n)]
+            pair = strings.TitlePair(t, f, cfg.subtitle_score)
             rows.append((
-                strings.title_similarity(t, f, cfg.subtitle_score),
-                strings.title_status(t, f, cfg.title_match, cfg.word_match, cfg.title_reject, cfg.overlap_min_words),
+                pair.score,
+                pair.status(cfg.title_match, cfg.word_match, cfg.title_reject, cfg.overlap_min_words),
                 strings.author_share(s, n, bool(c), cfg.surname_match),
                 all(first) and strings.same_surname(*first, cfg.surname_match),
                 strings.venue_similarity(v, w) if v and w else None,

@@ -91,7 +91,7 @@ def joined(parts: Column) -> Column:
         on = F.when(word == "", F.concat_ws(" ", acc, line)).otherwise(F.concat(F.when(plain, F.substring(acc, F.lit(1), F.length(acc) - 1)).otherwise(acc), line))
         return F.when(acc == "", line).otherwise(on)
 
-    return F.aggregate(F.filter(F.transform(parts, F.trim), lambda p: p != ""), F.lit(""), step)
+    return F.aggregate(F.filter(F.transform(parts, lambda t: F.trim(t)), lambda p: p != ""), F.lit(""), step)
 
 
 def split_references(lines: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def joined_words(words: Column) -> Column:
 
 
 def shortened(names: Column, most: int = 3) -> Column:
-    parts = F.filter(F.transform(F.split(F.coalesce(names, F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(names, F.lit("")), ","), lambda t: F.trim(t)), lambda p: p != "")
     shown = F.array_join(F.slice(parts, 1, most), ", ")
     return F.when(F.size(parts) > most, F.concat(shown, F.lit(" et al."))).otherwise(shown)
 

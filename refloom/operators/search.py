@@ -113,7 +113,7 @@ def web_results(rows: DataFrame, as_of_year: int = PARSE.as_of_year) -> DataFram
 
     g = "response.knowledge_graph"
     names = F.split(F.coalesce(F.nullif(F.col(f"{g}.authors"), F.lit("")), F.nullif(F.col(f"{g}.author"), F.lit("")), F.lit("")), ",")
-    names = F.filter(F.transform(names, F.trim), lambda n: n != "")
+    names = F.filter(F.transform(names, lambda t: F.trim(t)), lambda n: n != "")
     dates = F.array(*(F.col(f"{g}.{d}") for d in GRAPH_DATES))
     panel = made(F.col(f"{g}.title"), F.col(f"{g}.source.link"), names, first_year(dates, as_of_year), F.lit("Google Knowledge Graph"), F.col(f"{g}.description"))
     panels = rows.where(f"{g}.title IS NOT NULL AND {g}.title <> ''").select(*keep, F.lit(0).alias("position"), panel.alias("candidate"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from refloom.config import MATCH, PARSE, SEARCH, VERDICT, Match, Parse, Search, Verdict
 from refloom.operators import control, match, references, search
+from refloom.sources.shared import stored
 
 KEYS = ["doc_id", "idx"]
 
@@ -17,12 +18,16 @@ def check_references(refs: DataFrame, responses: DataFrame, mode: str = "offline
 
     Equal citations are checked once. All planned queries are looked up by one join; those after a sure match are dropped by their ordinal, which is what
     asking one after the other would have left out.
+
+    References and compared candidates are written to the shared folder: both are read several times, and the string kernels run once.
     """
     keyed = references.with_original(refs.withColumn("dedupe_key", references.dedupe_key(F.col("fields"), F.col("raw"))), ["doc_id"])
+    keyed = stored(keyed, "references")
     firsts = references.originals(keyed).drop("dedupe_key", "original")
     plan = search.planned(firsts.withColumn("title", F.col("fields.title")).withColumn("entry_type", F.col("fields.entry_type")).withColumn("surname", F.get("fields.authors", F.lit(0))["surname"]), searching)
     asked = control.looked_up(plan.select(*KEYS, "fields", "ordinal", "engine", "query", "cache_key"), control.latest(responses))
     found = match.compared(search.candidates(asked.select(*KEYS, "fields", "ordinal", "engine", "body"), parse.as_of_year), matching)
+    found = stored(found.drop("fields"), "compared")
     stop = match.confident_ordinal(found, KEYS)
     kept = found.join(stop, KEYS, "left").where(F.col("stop").isNull() | (F.col("ordinal") <= F.col("stop"))).drop("stop")
     best = match.best_of(kept, KEYS)
