@@ -1,11 +1,11 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and a streaming decoder.
 
 A sequence of tokens is the BPE encoding of its bytes just if each two neighbours are the encoding of theirs. So while bytes are
-read, the only open question is where the pending token began. A hypothesis holds the tokens up to there that are not
-emitted yet, the last of them, and the bytes of the pending one; at each place exactly one hypothesis can end its pending token
-and start another. A state of the transducer is the set of hypotheses alive. What all of them agree on is emitted at once,
-so output lags input by a bounded lookahead, at most a few of the longest tokens. States and transitions are made when text first needs them and
-kept up to a bound, after which the machine starts afresh; the result doesn't depend on that.
+read, the only open question is where the pending token began. A hypothesis is a token that has ended and the place in the trie of
+tokens that the bytes since then lead to; at each place exactly one hypothesis can end its pending token and start another. A state
+of the transducer is the set of hypotheses alive, and knows the token that ends there. Once one hypothesis is left, all tokens before
+it are sure and are emitted, so output lags input by a bounded lookahead: hypotheses die within the longest token. States and transitions are made when
+text first needs them and kept up to a bound, after which the machine starts afresh; the result doesn't depend on that.
 
 Texts are split by the vocabulary's pattern first, and each match goes through the machine from its start state. Null texts
 are empty, and the empty text has no tokens. Special tokens are never made. Repeated rows are rows of their own; an empty table gives no
@@ -18,8 +18,8 @@ import base64
 import hashlib
 import sys
 import types
+from array import array
 from collections.abc import Iterable, Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: States and known pairs kept at most, and known words of each of two generations.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 100_000, 300_000, 300_000
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 300_000, 300_000
 #: More than any rank.
 MANY = 1 << 60
+#: What a state holds besides its transitions, which are under bytes.
+ALIVE, ENDS = -1, -2
+#: Tokens below a node that are tried one by one.
+FEW = 24
+#: Bytes of a word that may wait before what is sure is emitted.
+FLUSH = 256
 #: Words longer than this are not kept.
 KEPT_CHARS = 48
 #: Tokens that are decoded at once.
@@ -51,9 +57,10 @@ class Transducer:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.sizes = list(map(len, self.tokens))
         # A trie of the tokens' bytes: the children of each node, and the token that ends there or -1.
         self.children: list[dict[int, int]] = [{}]
-        self.ends = [-1]
+        self.ends, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -62,21 +69,21 @@ class Transducer:
                     below[byte] = len(self.ends)
                     self.children.append({})
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = below[byte]
             self.ends[node] = rank
+        #: How many tokens are at a node or below.
+        self.below = [int(e >= 0) for e in self.ends]
+        for node in range(len(self.ends) - 1, -1, -1):
+            self.below[node] += sum(self.below[c] for c in self.children[node].values())
         self.pairs: dict[tuple[int, int, int], bool] = {}
+        self.standing: dict[tuple[int, int], int | None] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.restart()
 
     def restart(self) -> None:
         self.states: dict[tuple, dict] = {}
-        # The start has one hypothesis: nothing is behind it or pending.
-        self.start = self._state((((), -1, 0),))
-
-    def _state(self, hypotheses: tuple) -> dict:
-        if (found := self.states.get(hypotheses)) is None:
-            found = self.states[hypotheses] = {-1: hypotheses}
-        return found
+        self.start: dict = {ALIVE: (), ENDS: -1}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by the merge rule itself; for short strings only."""
@@ -140,55 +147,80 @@ class Transducer:
                     return True
                 below, left = left, halves[1]
 
-    def _ended(self, hypotheses: tuple) -> tuple[int, ...]:
-        """The tokens not emitted yet if the pending token ends here."""
-        ends, pairs = self.ends, self.pairs
-        for waiting, last, node in hypotheses:
-            token = ends[node]
-            if token >= 0:
-                ok = pairs.get((last, token, MANY))
-                if ok or ok is None and self._follows(last, token):
-                    return (*waiting, token)
-        raise ValueError("the vocabulary lacks single bytes")
-
-    def _step(self, state: dict, byte: int) -> tuple[tuple[int, ...], dict]:
-        """Work out the transition and keep it: the tokens to emit and the next state."""
-        hypotheses, children = state[-1], self.children
-        alive = [(waiting, last, below) for waiting, last, node in hypotheses if (below := children[node].get(byte))]
-        if state is not self.start:
-            done = self._ended(hypotheses)
-            alive.append((done, done[-1], children[0][byte]))
-        first = alive[0][0]
-        if first:
-            for waiting, _, _ in alive[1:]:
-                n = 0
-                for x, y in zip(first, waiting, strict=False):
-                    if x != y:
-                        break
-                    n += 1
-                if n < len(first):
-                    first = first[:n]
-                    if not n:
+    def _kept(self, last: int, node: int) -> int | None:
+        """The token that stands for `last` before whatever pends at this node: -1 if all tokens below may follow it, None if none may.
+
+        This merges states that differ in nothing to come, and lets hypotheses die early.
+        """
+        key = (last, node)
+        if key in self.standing:
+            return self.standing[key]
+        if len(self.standing) >= MAX_PAIRS:
+            self.standing.clear()
+        found = last
+        if self.below[node] <= FEW:
+            may = [self._apart(last, t, MANY) for t in self._tokens_below(node)]
+            found = -1 if all(may) else last if any(may) else None
+        self.standing[key] = found
+        return found
+
+    def _tokens_below(self, node: int) -> list[int]:
+        out = [self.ends[node]] if self.ends[node] >= 0 else []
+        for child in self.children[node].values():
+            out += self._tokens_below(child)
+        return out
+
+    def _state(self, alive: tuple) -> dict:
+        """The state of these hypotheses, (token that ended, node of the pending one), the oldest first."""
+        found = self.states.get(alive)
+        if found is None:
+            ends, pairs = self.ends, self.pairs
+            for last, node in alive:
+                token = ends[node]
+                if token >= 0:
+                    ok = pairs.get((last, token, MANY))
+                    if ok or ok is None and self._follows(last, token):
                         break
-            if n := len(first):
-                alive = [(waiting[n:], last, node) for waiting, last, node in alive]
-        found = state[byte] = (first, self._state(tuple(alive)))
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+            found = self.states[alive] = {ALIVE: alive, ENDS: token}
+        return found
+
+    def _step(self, state: dict, byte: int) -> dict:
+        """Work out the transition and keep it."""
+        children = self.children
+        alive, kept = [], self.standing
+        for last, node in (*state[ALIVE], (state[ENDS], 0)):
+            if below := children[node].get(byte):
+                if last >= 0 and (last := kept[key] if (key := (last, below)) in kept else self._kept(last, below)) is None:
+                    continue
+                alive.append((last, below))
+        found = state[byte] = self._state(tuple(alive))
         return found
 
     def encode(self, data: bytes) -> list[int]:
-        if not data:
-            return []
         if len(self.states) > MAX_STATES:
             self.restart()
         out: list[int] = []
-        state = self.start
+        state, path = self.start, []
         for byte in data:
-            emitted, state = state.get(byte) or self._step(state, byte)
-            if emitted:
-                out += emitted
-        if (last := state.get(-2)) is None:
-            last = state[-2] = self._ended(state[-1])
-        out += last
+            state = state.get(byte) or self._step(state, byte)
+            path.append(state[ENDS])
+            if len(path) >= FLUSH and len(state[ALIVE]) == 1:
+                # What stands before the one pending token is sure.
+                pending = self.depth[state[ALIVE][0][1]]
+                out += self._traced(path[:-pending])
+                path = path[-pending:]
+        return out + self._traced(path)
+
+    def _traced(self, ends: list[int]) -> list[int]:
+        """The tokens of a stretch from the tokens that end at each of its places."""
+        out, sizes, at = [], self.sizes, len(ends)
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
         return out
 
 
@@ -202,7 +234,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.before.get(word)
         if packed is None:
-            packed = pack("<%dI" % len(ids := self.machine.encode(word.encode())), *ids)
+            packed = array("I", self.machine.encode(word.encode())).tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= MAX_WORDS:
                 self.before = dict(self)
