@@ -234,7 +234,10 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.before.get(word)
         if packed is None:
-            packed = array("I", self.machine.encode(word.encode())).tobytes()
+            ids = array("I", self.machine.encode(word.encode()))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            packed = ids.tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= MAX_WORDS:
                 self.before = dict(self)

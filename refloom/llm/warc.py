@@ -120,8 +120,8 @@ def to_bytes(headers: str, block: str) -> bytes:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Each partition's records as one row of text files; records end as WARC asks, so the files can be joined."""
-    records.select(F.concat("headers", "block", F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "").text(path)
+    """A file for each partition; the separator is what ends a record in WARC, so files can be put one after another."""
+    records.select(F.concat("headers", "block").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
