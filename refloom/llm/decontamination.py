@@ -12,6 +12,8 @@ Extra columns are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +31,17 @@ def _fingerprint(hashes: Column, at: Column, length: int, k: int) -> Column:
     return F.least(*grams) if len(grams) > 1 else grams[0]
 
 
-def _windows(texts: DataFrame, lengths: list[int], k: int) -> DataFrame:
-    """One row for each window: the columns of texts but body, then words, at, length, mark."""
+def _windows(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """One row for each window of so many words: the columns of texts but body, then words, at, length, mark."""
     keep = [c for c in texts.columns if c != "body"]
-    words = texts.select(*keep, plain_words(F.col("body")).alias("words"))
+    words = texts.select(*keep, plain_words(F.col("body")).alias("words")).where(F.size("words") >= length)
     words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    parts = []
-    for n in lengths:
-        part = words.where(F.size("words") >= n).withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - (n - 1))))
-        parts.append(part.select(*keep, "words", "at", F.lit(n).alias("length"), _fingerprint(F.col("hashes"), F.col("at"), n, k).alias("mark")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    places = words.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - (length - 1))))
+    return places.select(*keep, "words", "at", F.lit(length).alias("length"), _fingerprint(F.col("hashes"), F.col("at"), length, k).alias("mark"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _content(at: str = "at", length: str = "length") -> Column:
@@ -56,10 +56,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, k: int = K) ->
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most `window` numbers
     if not lengths:
         return None
-    parts = [_windows(items.where(F.col("n") == x).drop("n"), [x], k) for x in lengths]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    rows = _union([_windows(items.where(F.col("n") == x).drop("n"), x, k) for x in lengths])
     rows = rows.select("item", F.col("length").alias("b_length"), F.col("mark").alias("b_mark"), _content().alias("content"))
     return rows.groupBy("b_length", "b_mark", "content").agg(F.collect_set("item").alias("items"))
 
@@ -70,11 +67,19 @@ def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     if wanted is None:
         return None
     about = wanted.agg(F.collect_set("b_length").alias("lengths"), F.sum(F.length("content") + F.size("items") * 16 + 64).alias("bytes")).first()
-    places = _windows(docs, sorted(about.lengths), k)
+    lengths = sorted(about.lengths)
+    meets = F.col("mark") == F.col("b_mark")
     if about.bytes <= broadcast_bytes:
-        wanted = F.broadcast(wanted)
-    hit = places.join(wanted, (places["mark"] == wanted["b_mark"]) & (places["length"] == wanted["b_length"]) & (_content() == wanted["content"]))
-    return hit.select("k_id", "k_text", "at", "length", "items")
+        # The words of a text are at hand where its windows are made, and are compared there. Each length has a join of its own: what stands
+        # between the windows and the join would have to hold all windows of a text, each with all its words.
+        same = meets & (_content() == F.col("content"))
+        return _union([_windows(docs, n, k).join(F.broadcast(wanted.where(F.col("b_length") == n)), same).select("k_id", "k_text", "at", "length", "items") for n in lengths])
+    # Otherwise only places and fingerprints are shuffled; each text that meets any comes once more, to be compared with all it met.
+    places = _union([_windows(docs, n, k).drop("words") for n in lengths])
+    met = places.join(wanted, meets & (F.col("length") == F.col("b_length"))).groupBy(F.col("k_id").alias("m_id"), F.col("k_text").alias("m_text")).agg(F.collect_set(F.struct("at", "length", "content", "items")).alias("met"))
+    rows = docs.join(met, docs["k_id"].eqNullSafe(met["m_id"]) & (docs["k_text"] == met["m_text"])).select("k_id", "k_text", plain_words(F.col("body")).alias("words"), "met")
+    same = F.filter("met", lambda m: F.concat_ws(" ", F.slice("words", m["at"], m["length"])) == m["content"])
+    return rows.select("k_id", "k_text", F.inline(same)).select("k_id", "k_text", "at", "length", "items")
 
 
 def _covered(spans: Column) -> Column:
