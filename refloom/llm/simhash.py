@@ -253,6 +253,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, g
     first = member.groupBy("root").agg(F.min("first").alias("least"))
     linked = member.join(first, "root").select("node", "least")
     whole = fps.join(linked, fps["fp"] == linked["node"], "left").select(fps["fp"].alias("of"), F.coalesce("least", "first").alias("first"))
+    # Both sides are plain tables now, so a fingerprint that many documents share can be split between tasks.
+    whole = stored(whole, "firsts")
     return rows.join(whole, rows["fp"] == whole["of"]).select("k_id", "k_text", "fp", "first")
 
 
