@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-A document's features are the words of a bounded vocabulary and how often they stand in it. One weight vector w is shared by all
+A document's features are the marks of a bounded vocabulary and how often they stand in it; the marks of a word are itself and its
+beginnings, so that forms of one stem share weight. One weight vector w is shared by all
 grades: P(grade > k) = sigmoid(w x - t_k), with thresholds t_0 < t_1 < ... The expected severity is the sum of these over k, and
 a document is rejected if P(grade > 0) passes `least`.
 
@@ -33,7 +34,10 @@ from refloom.llm.trees import sigmoid
 SAMPLE_ROWS = 6_000
 VOCABULARY = 4_000
 GRADES = 3
-LEAST = 0.5
+LEAST = 0.3
+#: Letters of a word's beginnings, and words whose marks are kept.
+STEMS = (4, 5)
+MAX_WORDS = 200_000
 #: A word of the vocabulary stands in so many different training texts of one kind at least.
 LEAST_TEXTS = 3
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -43,21 +47,44 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def marks_of(word: str) -> set[str]:
+    """The word, and its first letters with a sign before them."""
+    return {word, *("^" + word[:n] for n in STEMS if len(word) >= n)}
+
+
+class Marks(dict):
+    """The places in the vocabulary of each word's marks; words met are kept up to a bound."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        known = self.vocabulary
+        found = tuple(sorted(known[m] for m in marks_of(word) if m in known))
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+    def counted(self, text: str) -> Counter:
+        of = self.__getitem__
+        return Counter(i for w in words_of(text) for i in of(w))
+
+
 @dataclass(frozen=True)
 class Severity:
     vocabulary: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        known, weights, out = self.vocabulary, self.weights, np.zeros(len(texts))
-        if not known:
-            return out
-        for i, text in enumerate(texts):
-            found = [known[w] for w in words_of(text) if w in known]
+    def margins(self, texts: list[str], marks: Marks | None = None) -> np.ndarray:
+        marks, out = marks or Marks(self.vocabulary), np.zeros(len(texts))
+        for i, text in enumerate(texts if self.vocabulary else ()):
+            found = sorted(marks.counted(text).items())
             if found:
-                at, n = np.unique(found, return_counts=True)
-                out[i] = (weights[at] * np.log1p(n)).sum()
+                at, n = np.array(found).T
+                out[i] = (self.weights[at] * np.log1p(n)).sum()
         return out
 
     def over(self, margins: np.ndarray) -> np.ndarray:
@@ -65,7 +92,7 @@ class Severity:
         return sigmoid(margins[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(rows: list[dict[int, float]], grade: np.ndarray, width: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[dict[int, float]], grade: np.ndarray, width: int, l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds that maximise the likelihood of the grades, by Adam on the exact gradient.
 
     The thresholds are a first one and positive gaps, so that they stay in order.
@@ -122,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
         toxic, clean = Counter(), Counter()
         for b in batches:
             for label, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (toxic if label > 0 else clean).update(set(words_of(body)))
+                (toxic if label > 0 else clean).update(set().union(*map(marks_of, set(words_of(body)))))
         words = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
@@ -139,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     marked = {i for r, i in zip(picked, range(len(picked)), strict=True) if r.toxic * kinds[False] > 10 * (r.clean + 0.5) * kinds[True]}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(known)
         for b in batches:
-            counts = [Counter(known[w] for w in words_of(body) if w in known) for body in b.column(1).to_pylist()]
+            counts = [marks.counted(body) for body in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["label", "at", "n"])
 
     rows = texts.mapInArrow(placed, "label int, at array<int>, n array<int>").collect()  # at most 2 * sample_rows
@@ -168,10 +196,11 @@ def score(docs: DataFrame, model: Severity, least: float = LEAST) -> DataFrame:
     schema = StructType([*docs.schema.fields]).add(name, StructType().add("severity", "double").add("toxicity", "double").add("rejected", "boolean"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(model.vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                over = model.over(model.margins(part.column(len(columns) - 1).to_pylist()))
+                over = model.over(model.margins(part.column(len(columns) - 1).to_pylist(), marks))
                 verdict = pa.StructArray.from_arrays([pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= least)], names=["severity", "toxicity", "rejected"])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], verdict], names=columns)
 
