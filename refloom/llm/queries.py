@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refloom.llm import bpe, decontamination, licenses, line_dedup, quality_rules, rule_ensemble, sharding, simhash, toxicity, warc
+from refloom.llm import bpe, decontamination, licenses, line_dedup, oracles, quality_rules, rule_ensemble, sharding, simhash, toxicity, warc
 from refloom.llm.common import table
 
 #: The vocabulary of op10, in the folder of public tokenizers.
@@ -66,4 +66,4 @@ QUERIES = {
         op9_simhash, op10_byte_bpe,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_decontamination": oracles.DECONTAMINATION, "op6_license_scan": oracles.LICENSES}
