@@ -26,7 +26,10 @@ def check_references(refs: DataFrame, responses: DataFrame, mode: str = "offline
     firsts = references.originals(keyed).drop("dedupe_key", "original")
     plan = search.planned(firsts.withColumn("title", F.col("fields.title")).withColumn("entry_type", F.col("fields.entry_type")).withColumn("surname", F.get("fields.authors", F.lit(0))["surname"]), searching)
     asked = control.looked_up(plan.select(*KEYS, "fields", "ordinal", "engine", "query", "cache_key"), control.latest(responses))
-    found = match.compared(search.candidates(asked.select(*KEYS, "fields", "ordinal", "engine", "body"), parse.as_of_year), matching)
+    # String kernels are slow and their rows small: a count given by hand keeps adaptive execution from putting them all into a few tasks.
+    tasks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = search.candidates(asked.select(*KEYS, "fields", "ordinal", "engine", "body").repartition(tasks, *KEYS), parse.as_of_year)
+    found = match.compared(met, matching)
     found = stored(found.drop("fields"), "compared")
     stop = match.confident_ordinal(found, KEYS)
     kept = found.join(stop, KEYS, "left").where(F.col("stop").isNull() | (F.col("ordinal") <= F.col("stop"))).drop("stop")
