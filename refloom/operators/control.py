@@ -143,3 +143,11 @@ def redacted(text: Column, secrets: list[str] = ()) -> Column:
         text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
     text = F.regexp_replace(text, r"""(?i)(api_key["']?\s*[=:]\s*["']?)[^&\s"',}]+""", "$1[REDACTED]")
     return F.regexp_replace(text, r"(?<![0-9a-fA-F])[0-9a-fA-F]{64}(?![0-9a-fA-F])", "[REDACTED]")
+
+
+def preflight(uncached_references: DataFrame, account: DataFrame, max_searches: int = SEARCH.max_searches, cfg: Search = SEARCH) -> DataFrame:
+    """One row: estimate, searches_left, allowed, limit, per_hour. uncached_references: a row for each reference whose first query is not stored; account: one row."""
+    n = uncached_references.agg(F.count("*").alias("n"))
+    row = quota(account).withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one")
+    estimate = estimated_searches(F.col("n"), max_searches, cfg)
+    return row.select(estimate.alias("estimate"), "searches_left", (F.col("searches_left") >= estimate).alias("allowed"), F.least(F.lit(max_searches), F.col("searches_left")).alias("limit"), pacing_rate(F.col("hourly_limit"), cfg).alias("per_hour"))

@@ -116,3 +116,26 @@ def html(results: DataFrame, by: str = "doc_id") -> DataFrame:
     rows = results.withColumn("severity", severity(F.col("verdict"))).withColumn("row", row)
     body = rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("severity", "idx", "row"))), lambda x: x["row"]), "\n").alias("body"))
     return body.select(by, F.concat(F.lit("<!DOCTYPE html><html><body><table>\n"), "body", F.lit("\n</table></body></html>\n")).alias("html"))
+
+
+def evaluation_markdown(outcomes: DataFrame, title: str = "Evaluation") -> str:
+    """Headline, types, classes and the confusion matrix as Markdown. Only aggregates reach the driver; `evaluate.failures` lists the rows."""
+    from refloom.operators import evaluate
+
+    def share(k: int, n: int, least: int = 0) -> str:
+        row = evaluate.wilson(outcomes.sparkSession.createDataFrame([(k, n)], "k long, n long"), "k", "n").first()
+        return "n/a" if not n else f"{k}/{n}" if n < least else f"{k}/{n} = {100 * k / n:.1f}% [{100 * row.low:.1f}, {100 * row.high:.1f}]"
+
+    lines = [f"### {title}", "", "| Subset | False alarms | Detection | Unchecked |", "| --- | --- | --- | ---: |"]
+    heads = {r.subset: r for r in evaluate.headline_sets(outcomes).collect()}
+    lines += [f"| {n} | {share(h.false_alarms, h.n_real)} | {share(h.detected, h.n_fabricated)} | {h.unchecked_real + h.unchecked_fabricated} |" for n in ("all", "indian") if (h := heads.get(n))]
+    lines += ["", "| Perturbation | Detected |", "| --- | --- |"]
+    types = {r.perturbation: r for r in evaluate.per_perturbation(outcomes).collect()}
+    lines += [f"| {p.replace('_', ' ')} | {share(types[p].detected, types[p].n_rows, 5)} |" for p in evaluate.PERTURBATIONS]
+    lines += ["", "| Class | Precision | Recall | F1 |", "| --- | --- | --- | ---: |"]
+    scores = {r["class"]: r for r in evaluate.class_scores(outcomes, []).collect()}
+    lines += [f"| {c} | {share(s.tp, s.tp + s.fp)} | {share(s.tp, s.tp + s.fn)} | {'n/a' if s.f1 is None else f'{100 * s.f1:.1f}%'} |" for c in evaluate.FLAGGED if (s := scores.get(c))]
+    lines += ["", "| Expected | " + " | ".join(VERDICTS) + " |", "| --- |" + " ---: |" * len(VERDICTS)]
+    table = {r.expected: r for r in evaluate.confusion(outcomes).collect()}
+    lines += [f"| {e} | " + " | ".join(str(table[e][v.lower()]) for v in VERDICTS) + " |" for e in evaluate.EXPECTED]
+    return "\n".join(lines) + "\n"

@@ -128,3 +128,9 @@ def arxiv_records(raw: DataFrame) -> DataFrame:
     year = F.regexp_extract(at("/feed/entry/published"), r"^(\d{4})", 1)
     rows = raw.select("id", title.alias("title"), F.substring_index(F.trim(at("/feed/entry/author/name")), " ", -1).alias("first_author"), F.when(year != "", year.cast("int")).alias("year"), F.lit("arxiv").alias("source"))
     return rows.where((F.col("title") != "") & (F.lower("title") != "error"))
+
+
+def append_usage(spark: SparkSession, path: str, surface: str, searches: int, references: int, left: int | None) -> None:
+    """A line in the usage log; the log is a folder of text files, in any store."""
+    said = f"live run ({surface}) | searches={searches} | references={references} | account_left_before={'not checked (all cached)' if left is None else left}"
+    spark.range(1).select(F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm 'UTC'"), F.lit(" | "), F.lit(said)).alias("value")).write.mode("append").text(path)
