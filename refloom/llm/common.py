@@ -1,17 +1,10 @@
-"""What the operators of this subpackage share: tables, words, row keys and the shared folder."""
+"""What the operators of this subpackage share: tables, words and row keys."""
 
 from __future__ import annotations
 
-import sys
-import uuid
-
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions that run on executors travel with the plan, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules["refloom.llm"])
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Whatever is not a digit, an ASCII letter or a character beyond ASCII separates words.
@@ -22,11 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_of(column: str = "text") -> Column:
-    """The text, empty where it is null."""
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; `lower` would fold other letters too."""
     return F.translate(text, UPPER, LOWER)
@@ -50,18 +38,3 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["k_id"].eqNullSafe(b["k_id"]) & (a["k_text"] == b["k_text"])
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again: later readers all see the same rows, whatever executor is lost."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

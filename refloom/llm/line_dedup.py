@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import keyed, same_key, stored
+from refloom.llm.common import keyed, same_key
+from refloom.sources.shared import stored
 
 WINDOW, MARK = 2, 4
 LONG_WORDS, LEAST_WORDS = 40, 20

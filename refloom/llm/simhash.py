@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import same_key, stored
+from refloom.llm.common import same_key
+from refloom.sources.shared import stored
 
 SHINGLE, MOST = 3, 3
 #: Rows of one group that one task takes; larger groups are dealt again.
