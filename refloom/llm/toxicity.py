@@ -21,9 +21,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,7 +35,7 @@ from refloom.llm.trees import sigmoid
 from refloom.sources.shared import stored
 
 SAMPLE_ROWS = 6_000
-VOCABULARY = 4_000
+VOCABULARY = 2_000
 GRADES = 3
 LEAST = 0.3
 #: Letters of a word's beginnings, and words whose marks are kept.
@@ -68,8 +71,7 @@ class Marks(dict):
         return found
 
     def counted(self, text: str) -> Counter:
-        of = self.__getitem__
-        return Counter(i for w in words_of(text) for i in of(w))
+        return Counter(chain.from_iterable(map(self.__getitem__, words_of(text))))
 
 
 @dataclass(frozen=True)
@@ -92,21 +94,18 @@ class Severity:
         return sigmoid(margins[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(rows: list[dict[int, float]], grade: np.ndarray, width: int, l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(at_row: np.ndarray, at_col: np.ndarray, value: np.ndarray, grade: np.ndarray, width: int, l2: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds that maximise the likelihood of the grades, by Adam on the exact gradient.
 
-    The thresholds are a first one and positive gaps, so that they stay in order.
+    The features are entries (row, column, value). The thresholds are a first one and positive gaps, so that they stay in order.
     """
-    at_row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(int)
-    at_col = np.fromiter((c for r in rows for c in r), int)
-    value = np.fromiter((v for r in rows for v in r.values()), float)
     top = int(grade.max())
     share = [np.clip((grade > k).mean(), 1e-3, 1 - 1e-3) for k in range(top)]
     logits = np.array([np.log((1 - s) / s) for s in share])
     gaps = np.log(np.maximum(np.diff(logits), 0.05))
     theta = np.r_[np.zeros(width), logits[:1], gaps]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(rows)
+    n = len(grade)
     for step in range(1, steps + 1):
         w = theta[:width]
         t = np.cumsum(np.r_[theta[width], np.exp(theta[width + 1 :])])
@@ -168,21 +167,26 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(known)
         for b in batches:
-            counts = [marks.counted(body) for body in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["label", "at", "n"])
-
-    rows = texts.mapInArrow(placed, "label int, at array<int>, n array<int>").collect()  # at most 2 * sample_rows
-    label = np.array([r.label for r in rows])
+            bodies = b.column(1).to_pylist()
+            counts = [sorted(marks.counted(body).items()) for body in bodies]
+            hashes = pa.array([xxhash.xxh64_intdigest(body) - (1 << 63) for body in bodies], pa.int64())
+            at, n = (pa.array([[c[k] for c in row] for row in counts], pa.list_(pa.int32())) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([hashes, b.column(0), at, n], names=["hash", "label", "at", "n"])
+
+    rows = texts.mapInArrow(placed, "hash long, label int, at array<int>, n array<int>").toArrow().combine_chunks()  # at most 2 * sample_rows
+    order = np.argsort(rows["hash"].to_numpy(), kind="stable")  # sums in one order, so that fits agree to the last bits
+    rows = rows.take(pa.array(order)).combine_chunks()
+    label = rows["label"].to_numpy()
+    size = pc.list_value_length(rows["at"]).to_numpy()
+    at_row, at_col, n = np.repeat(np.arange(len(label)), size), pc.list_flatten(rows["at"]).to_numpy(), pc.list_flatten(rows["n"]).to_numpy()
     if label.max() > 1:
         grade = label.astype(int)
     else:
-        hits = np.array([sum(k for a, k in zip(r["at"], r["n"], strict=True) if a in marked) for r in rows])
-        cuts = np.quantile(hits[label > 0], np.arange(1, grades) / grades) if (label > 0).any() else []
+        hits = np.bincount(at_row, n * np.isin(at_col, list(marked)), len(label))
+        cuts = np.quantile(hits[label > 0], np.arange(1, grades) / grades)
         grade = np.where(label > 0, 1 + np.searchsorted(cuts, hits, "left"), 0)
     grade = np.unique(grade, return_inverse=True)[1]
-    order = np.lexsort((np.array([hash(tuple(r["at"])) for r in rows]), label))  # sums in one order, so that fits agree to the last bits
-    features = [dict(zip(rows[i]["at"], np.log1p(rows[i]["n"]), strict=True)) for i in order]
-    weights, thresholds = fit_ordinal(features, grade[order], len(known))
+    weights, thresholds = fit_ordinal(at_row, at_col, np.log1p(n), grade, len(known))
     return Severity(known, weights, thresholds)
 
 

@@ -152,7 +152,8 @@ def test_ordinal_thresholds_are_in_order():
     rng = np.random.default_rng(8)
     rows = [{int(c): 1.0 for c in rng.choice(20, 5, replace=False)} for _ in range(800)]
     level = np.array([sum(c < 4 for c in r) for r in rows])
-    w, t = toxicity.fit_ordinal(rows, np.minimum(level, 3), 20)
+    at_row, at_col = np.repeat(np.arange(800), 5), np.array([c for r in rows for c in r])
+    w, t = toxicity.fit_ordinal(at_row, at_col, np.ones(len(at_col)), np.minimum(level, 3), 20)
     assert (np.diff(t) > 0).all() and w[:4].min() > w[4:].max()
 
 
