@@ -1,99 +1,132 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by windows of lines.
 
-A text's lines are cut into chunks where a rolling hash over the hashes of the last `WINDOW` lines falls on a mark, so that lines put in or
-left out elsewhere don't move the cuts. A line of `LONG_WORDS` words or more is a chunk of its own: it is a passage, and its
-neighbours may differ from text to text. A chunk of several lines counts with `LEAST_WORDS` words or more. Chunks whose hash
-repeats anywhere in the corpus are compared byte by byte with the first such chunk, by (doc_id, place), and removed where they
-equal it; the first stays.
+A passage is a run of two lines or more with `LEAST_WORDS` words or more, or one line of `LONG_WORDS` words or more. A window is a shortest
+passage: the one that begins at a line, and the one that ends at a line. Every line of a passage stands in a window of it: if the one
+that begins at the line goes beyond the passage, the one that ends with the passage holds the line. So a repeated passage is found whole, whatever
+its lines are and whatever stands around it, as each of its windows repeats.
+
+Windows are hashed from sums over the hashes of their lines. One whose hash stands earlier in the corpus, by (doc_id, place), is put together
+with its neighbours that repeat the same document at the same distance; these runs are compared byte by byte with what they
+repeat, and their lines removed. The first stays. Windows overlap, so a passage may repeat one of which other lines repeat a
+third one: a line only goes where an earlier one equals it, and the first of equal lines never does.
 
 Null texts stay null. Rows that agree in id and text are one document, of which each row gets the same text; null ids come last in the order.
-Empty texts and empty tables have no chunks. Columns other than doc_id, text and n_chars are passed on as they are.
+Empty texts and empty tables have no windows. Columns other than doc_id, text and n_chars are passed on as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import keyed, same_key
+from refloom.llm.common import keyed
 from refloom.sources.shared import stored
 
-WINDOW, MARK = 2, 4
 LONG_WORDS, LEAST_WORDS = 40, 20
-MAX_LINES = 256
-_BASE, _MOD = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, line after the last) of each window."""
+    n = len(lines)
+    words = np.fromiter((len(line.split()) for line in lines), np.int64, n)
+    upto, at = np.r_[0, np.cumsum(words)], np.arange(n)
+    after = np.maximum(np.searchsorted(upto, upto[:-1] + LEAST_WORDS), at + 2)
+    start = np.minimum(np.searchsorted(upto, upto[1:] - LEAST_WORDS, "right") - 1, at - 1)
+    ahead, back, alone = at[after <= n], at[start >= 0], at[words >= LONG_WORDS]
+    both = np.unique(np.r_[ahead * (n + 1) + after[ahead], start[back] * (n + 1) + back + 1, alone * (n + 1) + alone + 1])
+    return both // (n + 1), both % (n + 1)
+
+
+def window_hashes(lines: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal for equal lines, wherever they stand: a polynomial in the lines' hashes, from sums up to each line."""
+    n = len(lines)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(line, 7) for line in lines), np.uint64, n)
+    power = lambda base: np.r_[np.uint64(1), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)]
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * power(_BASE)[:n], dtype=np.uint64)]
+    return (sums[b] - sums[a]) * power(_INVERSE)[a] + (b - a).astype(np.uint64) * np.uint64(_BASE)
 
 
 def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, line after the last, content) of each chunk that counts."""
+    """(first line, line after the last, content) of each window."""
     lines = text.encode().split(b"\n")
-    words = [len(line.split()) for line in lines]
-    hashes = [xxhash.xxh64_intdigest(line, 7) for line in lines]
-    out_factor = pow(_BASE, WINDOW, 1 << 64)
-    start = rolling = 0
-
-    def chunk(a: int, b: int) -> Iterator[tuple[int, int, bytes]]:
-        if b - a > 1 and sum(words[a:b]) >= LEAST_WORDS or b - a == 1 and words[a] >= LONG_WORDS:
-            yield a, b, b"\n".join(lines[a:b])
-
-    for i, h in enumerate(hashes):
-        rolling = (rolling * _BASE + h - (hashes[i - WINDOW] * out_factor if i >= WINDOW else 0)) & _MOD
-        if words[i] >= LONG_WORDS:
-            yield from chunk(start, i)
-            yield from chunk(i, i + 1)
-            start = i + 1
-        elif (rolling ^ rolling >> 32) % MARK == 0 or i + 1 - start >= MAX_LINES:
-            yield from chunk(start, i + 1)
-            start = i + 1
-    yield from chunk(start, len(lines))
-
-
-def chunk_rows(texts: DataFrame, with_content: bool) -> DataFrame:
-    """A row for each chunk that counts: k_id, k_text, hash, line, after, and the content if asked for."""
+    for a, b in zip(*(x.tolist() for x in windows(lines)), strict=True):
+        yield a, b, b"\n".join(lines[a:b])
+
+
+def chunk_rows(texts: DataFrame) -> DataFrame:
+    """A row for each window: k_id, k_text, hash, line, after."""
     schema = texts.select("k_id", "k_text").schema.add("hash", "long").add("line", "integer").add("after", "integer")
-    if with_content:
-        schema = schema.add("content", "binary")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, found = [], []
-                for i, body in enumerate(part.column(2)):
-                    mine = list(chunks(body.as_py()))
-                    found += mine
-                    rows += [i] * len(mine)
-                index = pa.array(rows, pa.int64())
-                columns = [part.column(0).take(index), part.column(1).take(index), pa.array([xxhash.xxh64_intdigest(c[2]) - (1 << 63) for c in found], pa.int64())]
-                columns += [pa.array([c[k] for c in found], pa.int32()) for k in (0, 1)]
-                if with_content:
-                    columns.append(pa.array([c[2] for c in found], pa.binary()))
+                starts, ends, hashes, sizes = [], [], [], []
+                for body in part.column(2):
+                    lines = body.as_py().encode().split(b"\n")
+                    a, b = windows(lines)
+                    sizes.append(len(a))
+                    if len(a):
+                        starts.append(a)
+                        ends.append(b)
+                        hashes.append(window_hashes(lines, a, b))
+                if not starts:
+                    continue
+                index = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                columns = [part.column(0).take(index), part.column(1).take(index), pa.array(np.concatenate(hashes).view(np.int64))]
+                columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return texts.mapInArrow(task, schema)
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted (line, after) spans, those that touch or overlap made one."""
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["line"].alias("line"), F.greatest(last["after"], s["after"]).alias("after"))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["after"] >= s["line"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<line:int,after:int>>"), step)
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(k_id, k_text, line, after): the chunks that equal an earlier one, byte by byte."""
+    """(k_id, k_text, line, after): the runs of lines that equal an earlier one, byte by byte."""
     texts = keyed(docs)
     place = F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text", "line")
-    counts = chunk_rows(texts, False).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    counts = chunk_rows(texts).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
     counts = stored(counts.select(F.col("hash").alias("of"), "first"), "repeated-hashes")
-    found = chunk_rows(texts, True).join(counts, F.col("hash") == F.col("of")).select("hash", "k_id", "k_text", "line", "after", "content", place.eqNullSafe(F.col("first")).alias("is_first"))
-    found = stored(found, "repeated-chunks")
-    # Rows that agree in id and text repeat the first chunk; one of them is enough to compare with.
-    first = found.where("is_first").groupBy(F.col("hash").alias("of")).agg(F.max("content").alias("as"))
-    later = found.where("not is_first").join(first, (F.col("hash") == F.col("of")) & (F.col("content") == F.col("as")))
-    return later.select("k_id", "k_text", "line", "after")
+    found = chunk_rows(texts).join(counts, F.col("hash") == F.col("of")).where(~place.eqNullSafe(F.col("first")))
+    found = found.select("k_id", "k_text", "line", "after", F.col("first.k_id").alias("f_id"), F.col("first.k_text").alias("f_text"), (F.col("first.line") - F.col("line")).alias("by"))
+    runs = found.groupBy("k_id", "k_text", "f_id", "f_text", "by").agg(F.array_sort(F.collect_set(F.struct("line", "after"))).alias("spans"))
+    runs = stored(runs.select("k_id", "k_text", "f_id", "f_text", "by", F.inline(_merged(F.col("spans")))), "repeated-runs")
+    # What repeats and what is repeated are cut from the texts in one pass.
+    n, f_line = F.col("after") - F.col("line"), F.col("line") + F.col("by")
+    later = runs.select("k_id", "k_text", F.lit(False).alias("is_first"), "line", n.alias("n"), "f_id", "f_text", f_line.alias("f_line"))
+    first = runs.select(F.col("f_id").alias("k_id"), F.col("f_text").alias("k_text"), F.lit(True).alias("is_first"), f_line.alias("line"), n.alias("n"), "f_id", "f_text", f_line.alias("f_line"))
+    wanted = later.union(first.distinct()).groupBy(F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text"))
+    wanted = wanted.agg(F.collect_list(F.struct("is_first", "line", "n", "f_id", "f_text", "f_line")).alias("wanted"))
+    rows = texts.join(wanted, F.col("k_id").eqNullSafe(F.col("w_id")) & (F.col("k_text") == F.col("w_text")))
+    cut = rows.select("k_id", "k_text", F.split("body", "\n").alias("lines"), "wanted")
+    cut = cut.select("k_id", "k_text", F.inline(F.transform("wanted", lambda w: F.struct(*(w[c].alias(c) for c in ("is_first", "line", "n", "f_id", "f_text", "f_line")), F.array_join(F.slice("lines", w["line"] + 1, w["n"]), "\n").alias("content")))))
+    cut = stored(cut, "repeated-chunks")
+    # Rows that agree in id and text give the first one more than once; one of them is enough to compare with.
+    as_first = cut.where("is_first").groupBy(F.col("f_id").alias("a_id"), F.col("f_text").alias("a_text"), F.col("f_line").alias("a_line"), F.col("n").alias("a_n")).agg(F.max("content").alias("as"))
+    same = F.col("f_id").eqNullSafe(F.col("a_id")) & (F.col("f_text") == F.col("a_text")) & (F.col("f_line") == F.col("a_line")) & (F.col("n") == F.col("a_n")) & (F.col("content") == F.col("as"))
+    return cut.where("not is_first").join(as_first, same).select("k_id", "k_text", "line", (F.col("line") + F.col("n")).alias("after"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated chunks; n_chars, if it is there, is the length of the new text. Column k_removed: lines removed."""
-    gone = repeated_chunks(docs).groupBy(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text")).agg(F.collect_set(F.struct("line", "after")).alias("k_gone"))
+    """The documents without repeated passages; n_chars, if it is there, is the length of the new text. Column k_removed: lines removed."""
+    gone = repeated_chunks(docs).groupBy(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text")).agg(_merged(F.array_sort(F.collect_set(F.struct("line", "after")))).alias("k_gone"))
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & (key == gone["g_text"]), "left")
     stays = lambda _, i: ~F.exists(F.col("k_gone"), lambda g: (g["line"] <= i) & (i < g["after"]))

@@ -110,6 +110,47 @@ def test_chunks_shift():
         assert content == "\n".join(lines[a:b]).encode()
 
 
+def brute_lines_removed(texts):
+    """For each text the places of lines in passages that an earlier place holds: every run of every text is looked at."""
+    first, out = {}, []
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        n = [len(line.split()) for line in lines]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= (line_dedup.LEAST_WORDS if b - a > 1 else line_dedup.LONG_WORDS):
+                    if first.setdefault(tuple(lines[a:b]), (i, a)) != (i, a):
+                        gone |= set(range(a, b))
+        out.append(gone)
+    return out
+
+
+def test_passages_of_short_lines(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    texts, planted = [], []
+    for shape in ([30, 30], [15] * 4, [6] * 9, [39, 1, 0, 12], [3] * 18, [18, 0, 0, 33, 2]):
+        for _ in range(6):
+            passage = [line(n) for n in shape]
+            for _ in range(2):
+                before, after = ([line(rnd.randrange(1, 12)) for _ in range(rnd.randrange(1, 5))] for _ in range(2))
+                planted.append((len(before), len(passage)))
+                texts.append("\n".join([*before, *passage, *after]))
+    few = [line(n) for n in (2, 9, 14, 21, 30, 45)]  # texts of few lines, in which runs overlap and repeat one another
+    texts += ["\n".join(rnd.choice(few) for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.k_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    gone = brute_lines_removed(texts)
+    for i, (text, places) in enumerate(zip(texts, gone, strict=True)):
+        assert got[i] == ("\n".join(x for k, x in enumerate(text.split("\n")) if k not in places), len(places))
+    for i, (at, n) in enumerate(planted):
+        assert gone[i] == (set(range(at, at + n)) if i % 2 else set())
+    left = {x for t, _ in got.values() for x in t.split("\n")}
+    assert left - {""} == {x for t in texts for x in t.split("\n")} - {""}  # no line is lost altogether
+
+
 def test_monotone_trees():
     rng = np.random.default_rng(5)
     x = rng.random((2000, 3))
