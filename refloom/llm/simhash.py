@@ -248,20 +248,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, g
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     least = F.min(F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text"))
     fps = stored(rows.groupBy("fp").agg(least.alias("first")), "distinct-fingerprints")
-    rooted = components(links(fps.select("fp"), most, group_rows))
+    return first_of_component(rows, fps, components(links(fps.select("fp"), most, group_rows)), "fp")
+
+
+def first_of_component(rows: DataFrame, units: DataFrame, rooted: DataFrame, unit: str) -> DataFrame:
+    """The rows with `first`, the least of those of the units in the row's component. units: (unit, first); rooted: as from components()."""
     rooted = rooted.union(rooted.select("root", "root").distinct())
-    member = rooted.join(fps, rooted["node"] == fps["fp"]).select("node", "root", "first")
+    member = rooted.join(units, rooted["node"] == units[unit]).select("node", "root", "first")
     first = member.groupBy("root").agg(F.min("first").alias("least"))
     linked = member.join(first, "root").select("node", "least")
-    whole = fps.join(linked, fps["fp"] == linked["node"], "left").select(fps["fp"].alias("of"), F.coalesce("least", "first").alias("first"))
-    # Both sides are plain tables now, so a fingerprint that many documents share can be split between tasks.
+    whole = units.join(linked, units[unit] == linked["node"], "left").select(units[unit].alias("of"), F.coalesce("least", "first").alias("first"))
+    # Both sides are plain tables now, so a unit that many documents share can be split between tasks.
     whole = stored(whole, "firsts")
-    return rows.join(whole, rows["fp"] == whole["of"]).select("k_id", "k_text", "fp", "first")
+    return rows.join(whole, rows[unit] == whole["of"]).select("k_id", "k_text", unit, "first")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """The documents, with all their columns, of which each is the first of its component; of rows that agree in id and text one stays."""
-    out = near_duplicates(docs, shingle, most)
+    return firsts_only(docs, near_duplicates(docs, shingle, most))
+
+
+def firsts_only(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The documents that are the first of their component. out: (k_id, k_text, first) for each document."""
     kept = out.where(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text"))).groupBy("k_id", "k_text").agg(F.count("*").alias("k_n"))
     kept = stored(kept, "kept")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
