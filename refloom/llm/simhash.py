@@ -72,13 +72,27 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
-    """The place of each value in the reflected Gray sequence."""
+    """The place of each value in the reflected Gray sequence; a column of words, the highest first, gives a column of ranks."""
     rank = fps.copy()
     for by in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(by)
+    for word in range(1, rank.shape[1] if rank.ndim > 1 else 0):
+        # The lowest bit of a rank is the parity of all bits above: an odd one turns what follows round.
+        rank[:, word] ^= np.uint64(0) - (rank[:, word - 1] & np.uint64(1))
     return rank
 
 
+def gray_order(group: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """The order by group, then Gray rank."""
+    rank = gray_rank(fps.reshape(len(fps), -1))
+    return np.lexsort((*rank.T[::-1], group))
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    """How many bits each row of words has set."""
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+
 def _least_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the components of a[i] and b[i]; a label is the least row number of a component."""
     while True:
@@ -92,47 +106,83 @@ def _least_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
+def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray, diffs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, those that span what all of them connect, fewest differences first; the labels are joined."""
+    order = np.argsort(diffs, kind="stable")
+    a, b, found = a[order], b[order], [np.zeros((2, 0), np.int64)]
+    while True:
+        apart = labels[a] != labels[b]
+        if not apart.any():
+            return tuple(np.concatenate(found, axis=1))
+        a, b = a[apart], b[apart]
+        # Each component's first pair to another one; the order is total, so these make no circle.
+        places = np.arange(len(a))
+        _, at = np.unique(np.stack([labels[a], labels[b]], axis=1).ravel(), return_index=True)
+        pick = np.unique(places[at // 2])
+        found.append(np.stack([a[pick], b[pick]]))
+        _least_labels(labels, a[pick], b[pick])
+
+
 class GrayIndex:
-    """The trees of many groups at once; rows are sorted by group and Gray rank."""
+    """The trees of many groups at once; rows are sorted by group and Gray rank. A fingerprint is a word or a row of words."""
 
     def __init__(self, group: np.ndarray, fps: np.ndarray, fanout: int = FANOUT):
+        fps = fps.reshape(len(fps), -1)
         self.fps, self.group = fps, group
         self.levels: list[dict] = []
         start, of = np.arange(len(fps)), group
-        pattern, mask = fps, np.full(len(fps), ~np.uint64(0))
+        pattern, mask = fps, np.full(fps.shape, ~np.uint64(0))
         while True:
             # Children of one parent: up to `fanout` neighbours of one group.
             head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             place = np.arange(len(of)) - np.repeat(head, np.diff(np.r_[head, len(of)]))
             first = np.flatnonzero(place % fanout == 0)
             n = np.diff(np.r_[first, len(of)])
-            ones, zeros = np.bitwise_and.reduceat(pattern, first), np.bitwise_and.reduceat(mask & ~pattern, first)
+            ones, zeros = np.bitwise_and.reduceat(pattern, first, axis=0), np.bitwise_and.reduceat(mask & ~pattern, first, axis=0)
             pattern, mask, of = ones, ones | zeros, of[first]
             start = start[first]
             self.levels.append({"first": first, "n": n, "pattern": pattern, "mask": mask, "row": start, "rows": np.diff(np.r_[start, len(fps)])})
             if (np.diff(np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])) == 1).all():
                 return
 
-    def components(self, most: int = MOST) -> np.ndarray:
-        """For each row the least row of its component; groups are apart."""
-        labels = np.arange(len(self.fps))
-        near = np.flatnonzero((self.group[1:] == self.group[:-1]) & (np.bitwise_count(self.fps[1:] ^ self.fps[:-1]) <= most))
-        _least_labels(labels, near, near + 1)
-        top = self.levels[-1]
-        a = np.flatnonzero(top["rows"] > 1)
-        b, diffs = a, np.zeros(len(a), np.int64)
+    def close(self, most: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, rows, differences) of the pairs that differ in at most `most` bits, neighbours first, but for those below nodes
+        that the labels connect wholly; whoever takes the pairs may join labels on the way."""
+        near = np.flatnonzero(self.group[1:] == self.group[:-1])
+        diffs = _bits(self.fps[near] ^ self.fps[near + 1])
+        yield near[diffs <= most], near[diffs <= most] + 1, diffs[diffs <= most]
+        a = np.flatnonzero(self.levels[-1]["rows"] > 1)
+        b, so_far = a, np.zeros(len(a), np.int64)
         for level in range(len(self.levels) - 1, 0, -1):
-            a, b, diffs = self._down(level, a, b, diffs, most)
-            a, b, diffs = self._open(level - 1, labels, a, b, diffs)
+            a, b, so_far = self._down(level, a, b, so_far, most)
+            a, b, so_far = self._open(level - 1, labels, a, b, so_far)
         order = np.argsort(b - a, kind="stable")
         a, b = a[order], b[order]
         for at in range(0, len(a), LEAF_PAIRS):
             x, y, _ = self._open(0, labels, a[at : at + LEAF_PAIRS], b[at : at + LEAF_PAIRS], None)
             x, y = self._children(0, x, y)[:2]
-            close = np.bitwise_count(self.fps[x] ^ self.fps[y]) <= most
-            _least_labels(labels, x[close], y[close])
+            diffs = _bits(self.fps[x] ^ self.fps[y])
+            few = (diffs <= most) & (labels[x] != labels[y])
+            yield x[few], y[few], diffs[few]
+
+    def components(self, most: int = MOST) -> np.ndarray:
+        """For each row the least row of its component; groups are apart."""
+        labels = np.arange(len(self.fps))
+        for a, b, _ in self.close(most, labels):
+            _least_labels(labels, a, b)
         return labels
 
+    def forest(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that span the components."""
+        labels = np.arange(len(self.fps))
+        found = [_spanning(labels, a, b, diffs) for a, b, diffs in self.close(most, labels)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def across(self, most: int, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All close pairs of rows of unlike labels; neighbours may come twice."""
+        found = [(a[labels[a] != labels[b]], b[labels[a] != labels[b]]) for a, b, _ in self.close(most, labels)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
     def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each pair of a child of a[i] and a child of b[i], the same pair once, and i."""
         at = self.levels[level]
@@ -151,7 +201,7 @@ class GrayIndex:
             pa_, pb_, d = a[at : at + LEAF_PAIRS], b[at : at + LEAF_PAIRS], diffs[at : at + LEAF_PAIRS]
             x, y, i = self._children(level, pa_, pb_)
             added = lower["mask"][x] & lower["mask"][y] & ~(upper["mask"][pa_[i]] & upper["mask"][pb_[i]])
-            so_far = d[i] + np.bitwise_count((lower["pattern"][x] ^ lower["pattern"][y]) & added)
+            so_far = d[i] + _bits((lower["pattern"][x] ^ lower["pattern"][y]) & added)
             few = so_far <= most
             kept.append((x[few], y[few], so_far[few]))
         return tuple(np.concatenate(z) for z in zip(*kept, strict=True))
@@ -170,7 +220,7 @@ def _group_links(most: int):
     """Of rows sorted by group: (fp, least) for each member of a component but the least itself."""
 
     def links(group: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((gray_rank(fps), group))
+        order = gray_order(group, fps)
         group, fps = group[order], fps[order]
         labels = GrayIndex(group, fps).components(most) if len(fps) else np.arange(0)
         other = np.flatnonzero(labels != np.arange(len(labels)))
@@ -269,7 +319,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataF
 
 
 def firsts_only(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """The documents that are the first of their component. out: (k_id, k_text, first) for each document."""
+    """The documents that are the first of their component, with their columns, whatever their names. out: (k_id, k_text, first) for each document."""
     kept = out.where(F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_text") == F.col("first.k_text"))).groupBy("k_id", "k_text").agg(F.count("*").alias("k_n"))
     kept = stored(kept, "kept")
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -277,5 +327,7 @@ def firsts_only(docs: DataFrame, out: DataFrame) -> DataFrame:
     match = lambda k: docs["doc_id"].eqNullSafe(k["k_id"]) & (key == k["k_text"])
     rows = docs.join(once, match(once), "left_semi")
     if often.take(1):
-        rows = rows.unionByName(docs.join(often, match(often), "left_semi").withColumn("k_text", key).dropDuplicates(["doc_id", "k_text"]).drop("k_text"))
+        # Whole rows in one struct, so that no name of theirs meets one of ours.
+        again = docs.join(often, match(often), "left_semi").select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), docs["doc_id"].alias("k_id"), key.alias("k_text"))
+        rows = rows.unionByName(again.dropDuplicates(["k_id", "k_text"]).select("row.*"))
     return rows
