@@ -1,9 +1,11 @@
 """Benchmark decontamination by winnowing, with DataFrame functions only.
 
-A window is `window` consecutive words of a benchmark item, or the whole item if it is shorter. Both sides fingerprint a
-window by the least hash of the `k`-grams in it, so a window that occurs in a document meets the same fingerprint there:
-every shared span of at least `window` words is found. The fingerprint join's hits are then compared word by word and
-extended to whole windows, whose union is the hit words of the document.
+A window is `window` consecutive words of a benchmark item, or the whole item if it is shorter. Both sides hash the `k`-grams of their words
+and keep, of each window's grams, the least (the last of equal ones); windows side by side mostly keep the same gram, which is one fingerprint.
+A window that occurs in a document has the same grams there and so keeps the same one: every shared span of at least `window` words meets in a
+fingerprint. Items of fewer words are one window of their own length, and those of fewer than `k` words are one gram. All lengths are
+fingerprinted in one pass over the documents. What the fingerprint join finds is compared word by word and extended to both sides as far as
+windows with this gram reach; if a whole window agrees, the extended span is hit.
 
 Null texts have no words, and so no hits. Items without words are left out; items with a null id mark words as hit but
 are not listed. Rows that agree in id and text get the same answer, each its own row. An empty benchmark hits nothing.
@@ -13,6 +15,7 @@ Extra columns are not looked at.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,66 +23,101 @@ from pyspark.sql import functions as F
 from refloom.llm.common import keyed, n_plain_words, plain_words, same_key
 
 WINDOW, K = 10, 5
-#: Benchmark windows are broadcast up to this many bytes of text, and joined by a shuffle beyond.
+#: Benchmark fingerprints are broadcast up to this many bytes of text, and joined by a shuffle beyond.
 BROADCAST_BYTES = 64 << 20
 
 
-def _fingerprint(hashes: Column, at: Column, length: int, k: int) -> Column:
-    """The least hash of the k-grams in the `length` words from place `at` (from 1)."""
-    word = [F.get(hashes, at + (i - 1)) for i in range(length)]
-    grams = [F.xxhash64(*word[i : i + k]) for i in range(max(1, length - k + 1))]
+def _least(grams: list[Column]) -> Column:
     return F.least(*grams) if len(grams) > 1 else grams[0]
 
 
-def _windows(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """One row for each window of so many words: the columns of texts but body, then words, at, length, mark."""
-    keep = [c for c in texts.columns if c != "body"]
-    words = texts.select(*keep, plain_words(F.col("body")).alias("words")).where(F.size("words") >= length)
-    words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    places = words.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - (length - 1))))
-    return places.select(*keep, "words", "at", F.lit(length).alias("length"), _fingerprint(F.col("hashes"), F.col("at"), length, k).alias("mark"))
+def _kept(hashes: Column, at: Column, length: int, k: int) -> tuple[Column, Column, Column]:
+    """Of the window of `length` words from place `at` (from 0): its least gram's hash, whether the window before keeps another one, and the gram's place."""
+    if length <= k:
+        return F.xxhash64(*(F.get(hashes, at + i) for i in range(length))), F.lit(True), at
+    grams = [F.xxhash64(*(F.get(hashes, at + j + i) for i in range(k))) for j in range(-1, length - k + 1)]
+    before, new, inner = grams[0], grams[-1], _least(grams[1:-1])
+    # Another gram is kept if the one that leaves was less than what stays, or the one that comes is as low.
+    other = (at == 0) | (new <= inner) | (before < inner)
+    mark = F.least(inner, new)
+    return mark, other, reduce(lambda e, j: F.when(grams[j + 1] == mark, at + j).otherwise(e), range(length - k + 1), at)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _fingerprints(texts: DataFrame, lengths: list[int], k: int) -> DataFrame:
+    """One row for each fingerprint: the columns of texts but body, then words, length, mark, place (of the gram, from 0)."""
+    keep = [c for c in texts.columns if c != "body"]
+    words = texts.select(*keep, plain_words(F.col("body")).alias("words")).where(F.size("words") >= min(lengths))
+    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    rows = hashed.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - min(lengths))))
+    if len(lengths) == 1:
+        rows = rows.withColumn("length", F.lit(lengths[0]))
+    else:
+        rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).where(F.col("at") + F.col("length") <= F.size("words"))
 
+    def of_length(part: int) -> Column:
+        kept = [_kept(F.col("hashes"), F.col("at"), n, k)[part] for n in lengths]
+        return reduce(lambda e, i: F.when(F.col("length") == lengths[i], kept[i]).otherwise(e), range(len(lengths) - 1), kept[-1])
 
-def _content(at: str = "at", length: str = "length") -> Column:
-    return F.concat_ws(" ", F.slice("words", F.col(at), F.col(length)))
+    # Marks of unlike lengths are unlike, so that one number is the key.
+    return rows.where(of_length(1)).select(*keep, "words", "length", (of_length(0) + F.col("length")).alias("mark"), of_length(2).alias("place"))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame | None:
-    """(length, mark, content, items) for each distinct window; None if there is none."""
+def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame | None:
+    """(b_length, b_mark, lead, near, items): the words about each distinct fingerprint, as far as its windows reach; its gram is after `lead` of them. None if there is none."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("body"))
     n = F.least(n_plain_words(F.col("body")), F.lit(window)).cast("int")
-    items = items.withColumn("n", n).where("n > 0")
-    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most `window` numbers
+    lengths = sorted(r.n for r in items.select(n.alias("n")).where("n > 0").distinct().collect())  # at most `window` numbers
     if not lengths:
         return None
-    rows = _union([_windows(items.where(F.col("n") == x).drop("n"), x, k) for x in lengths])
-    rows = rows.select("item", F.col("length").alias("b_length"), F.col("mark").alias("b_mark"), _content().alias("content"))
-    return rows.groupBy("b_length", "b_mark", "content").agg(F.collect_set("item").alias("items"))
+    rows = _fingerprints(items, lengths, k).where(F.col("length") == F.least(F.size("words"), F.lit(window)))
+    reach = F.greatest(F.col("length") - k, F.lit(0))
+    lead = F.least(F.col("place"), reach)
+    near = F.slice("words", F.col("place") - lead + 1, lead + F.least(F.col("length"), F.lit(k)) + reach)
+    rows = rows.select("item", F.col("length").alias("b_length"), F.col("mark").alias("b_mark"), lead.alias("lead"), near.alias("near"))
+    return rows.groupBy("b_length", "b_mark", "lead", "near").agg(F.collect_set("item").alias("items"))
+
+
+def _extended(words: Column, place: Column, length: Column, lead: Column, near: Column, lengths: list[int], k: int) -> tuple[Column, Column, Column]:
+    """(whether a whole window agrees, words to the left of the gram that agree, and from its start on)."""
+    same = lambda i: F.coalesce(F.get(words, place + i) == F.get(near, lead + i), F.lit(False))
+
+    def run(places: list[int]) -> Column:
+        return reduce(lambda n, i: F.when(same(i), n + 1).otherwise(F.lit(0)), reversed(places), F.lit(0))
 
+    reach = max(0, max(lengths) - k)
+    gram = reduce(and_, (same(i) | (F.lit(i) >= length) for i in range(min(k, max(lengths)))))
+    left = F.least(run([-1 - i for i in range(reach)]), F.greatest(length - k, F.lit(0)))
+    right = F.least(length, F.lit(k)) + F.least(run([k + i for i in range(reach)]), F.greatest(length - k, F.lit(0)))
+    return gram & (left + right >= length), left, right
 
-def hit_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
-    """(k_id, k_text, at, length, items) for each place in a document, from 1, where benchmark windows stand."""
-    wanted = benchmark_windows(benchmark, window, k)
+
+def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """(k_id, k_text, at, length, items): the spans of a document, from word 1, that agree with items, each a window or more."""
+    wanted = benchmark_fingerprints(benchmark, window, k)
     if wanted is None:
         return None
-    about = wanted.agg(F.collect_set("b_length").alias("lengths"), F.sum(F.length("content") + F.size("items") * 16 + 64).alias("bytes")).first()
+    about = wanted.agg(F.collect_set("b_length").alias("lengths"), F.sum(F.length(F.array_join("near", " ")) + F.size("items") * 16 + 64).alias("bytes")).first()
     lengths = sorted(about.lengths)
-    meets = F.col("mark") == F.col("b_mark")
+    meets = (F.col("mark") == F.col("b_mark")) & (F.col("length") == F.col("b_length"))
+    prints = _fingerprints(docs, lengths, k)
+
+    def spans(whole: Column, left: Column, right: Column, place: Column) -> list[Column]:
+        return [(place - left + 1).cast("int").alias("at"), (left + right).cast("int").alias("length")]
+
     if about.bytes <= broadcast_bytes:
-        # The words of a text are at hand where its windows are made, and are compared there. Each length has a join of its own: what stands
-        # between the windows and the join would have to hold all windows of a text, each with all its words.
-        same = meets & (_content() == F.col("content"))
-        return _union([_windows(docs, n, k).join(F.broadcast(wanted.where(F.col("b_length") == n)), same).select("k_id", "k_text", "at", "length", "items") for n in lengths])
+        # The words of a text are at hand where its fingerprints are made, and are compared there.
+        whole, left, right = _extended(F.col("words"), F.col("place"), F.col("b_length"), F.col("lead"), F.col("near"), lengths, k)
+        found = prints.join(F.broadcast(wanted), meets & whole)
+        return found.select("k_id", "k_text", *spans(whole, left, right, F.col("place")), "items")
     # Otherwise only places and fingerprints are shuffled; each text that meets any comes once more, to be compared with all it met.
-    places = _union([_windows(docs, n, k).drop("words") for n in lengths])
-    met = places.join(wanted, meets & (F.col("length") == F.col("b_length"))).groupBy(F.col("k_id").alias("m_id"), F.col("k_text").alias("m_text")).agg(F.collect_set(F.struct("at", "length", "content", "items")).alias("met"))
+    met = prints.drop("words").join(wanted, meets).groupBy(F.col("k_id").alias("m_id"), F.col("k_text").alias("m_text")).agg(F.collect_set(F.struct("place", "length", "lead", "near", "items")).alias("met"))
     rows = docs.join(met, docs["k_id"].eqNullSafe(met["m_id"]) & (docs["k_text"] == met["m_text"])).select("k_id", "k_text", plain_words(F.col("body")).alias("words"), "met")
-    same = F.filter("met", lambda m: F.concat_ws(" ", F.slice("words", m["at"], m["length"])) == m["content"])
-    return rows.select("k_id", "k_text", F.inline(same)).select("k_id", "k_text", "at", "length", "items")
+
+    def compared(m: Column) -> Column:
+        whole, left, right = _extended(F.col("words"), m["place"], m["length"], m["lead"], m["near"], lengths, k)
+        return F.struct(whole.alias("whole"), *spans(whole, left, right, m["place"]), m["items"].alias("items"))
+
+    return rows.select("k_id", "k_text", F.inline(F.filter(F.transform("met", compared), lambda m: m["whole"]))).select("k_id", "k_text", "at", "length", "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -95,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     """A row for each document: k_id, k_text, n_words, n_hit, n_items, items_sha256, contaminated, spans (place, length)."""
     texts = keyed(docs)
     rows = texts.select("k_id", "k_text", n_plain_words(F.col("body")).alias("n_words"))
-    hits = hit_windows(texts, benchmark, window, k, broadcast_bytes)
+    hits = hit_spans(texts, benchmark, window, k, broadcast_bytes)
     no_spans = F.array().cast("array<struct<at:int,length:int>>")
     if hits is None:
         out = rows.select("*", no_spans.alias("spans"), F.array().cast("array<string>").alias("items"))
@@ -115,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns."""
-    hits = hit_windows(keyed(docs), benchmark, window, k)
+    hits = hit_spans(keyed(docs), benchmark, window, k)
     if hits is None:
         return docs
     bad = hits.select("k_id", F.col("k_text").alias("k_bad")).distinct()
