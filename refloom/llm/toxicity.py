@@ -5,23 +5,22 @@ beginnings, so that forms of one stem share weight. One weight vector w is share
 grades: P(grade > k) = sigmoid(w x - t_k), with thresholds t_0 < t_1 < ... The expected severity is the sum of these over k, and
 a document is rejected if P(grade > 0) passes `least`.
 
-The labels say toxic or not. Grades of severity are made from them: 0 for the clean ones, and for the toxic ones 1 to `grades`
-by how many marked words they hold, a word being marked if it stands in toxic training texts much more often than in clean
-ones. Where the labels hold numbers over 1, these are the grades as they are.
+Labels that hold numbers over 1 are the grades as they are. Labels that only say toxic or not know two grades. Finer ones are estimates then: the toxic texts of one
+half of the sample are ranked by a model with one threshold that saw the other half only, and parted into `grades` equal shares. They order the severity
+of toxic texts, which nothing here can be held against; what is tested is the line between toxic and clean.
 
 The model is fitted on a sample of at most `sample_rows` labelled documents of each kind, the first by hash of the id, and a
-vocabulary of at most `vocabulary` words; scoring reads every whole text. Null texts are empty, and empty texts have the severity
+vocabulary of at most `vocabulary` marks, those whose shares of toxic and clean texts are furthest apart, each in `LEAST_TEXTS` texts of a kind or more;
+scoring reads every whole text. Null texts are empty, and empty texts have the severity
 of the bias alone. Labels with a null id, or of no document, are not used; of contradictory labels of one id the
 greatest counts. Without labels of both kinds nothing is rejected. Repeated rows are rows of their own; an empty table gives no rows. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +30,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from refloom.llm.common import WORD_BREAK
 from refloom.llm.trees import sigmoid
 from refloom.sources.shared import stored
 
 SAMPLE_ROWS = 6_000
-VOCABULARY = 2_000
+VOCABULARY = 4_000
 GRADES = 3
 LEAST = 0.3
 #: Letters of a word's beginnings, and words whose marks are kept.
 STEMS = (4, 5)
 MAX_WORDS = 200_000
-#: A word of the vocabulary stands in so many different training texts of one kind at least.
+#: A mark of the vocabulary stands in so many different training texts of one kind at least.
 LEAST_TEXTS = 3
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Characters of text that are worked on at once.
+PART_CHARS = 4 << 20
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of all texts, in order: the row and the place in the distinct words of each, and the distinct words."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string())), WORD_BREAK)
+    flat = lists.flatten()
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = flat.dictionary_encode()
+    words = coded.dictionary
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[at] if len(words) else np.zeros(0, bool)
+    return rows[real], words, at[real]
+
+
+def parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts): runs of about PART_CHARS characters, one text at the least."""
+    upto = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    at = 0
+    while at < len(texts):
+        done = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + PART_CHARS, "right")))
+        yield at, texts.slice(at, to - at)
+        at = to
 
 
 def marks_of(word: str) -> set[str]:
@@ -70,8 +90,19 @@ class Marks(dict):
         self[word] = found
         return found
 
-    def counted(self, text: str) -> Counter:
-        return Counter(chain.from_iterable(map(self.__getitem__, words_of(text))))
+    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, count) of a sparse matrix: how often each mark stands in each text, by row and column."""
+        rows, words, at = words_of(texts)
+        found = [self[w] for w in words.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((m for f in found for m in f), np.int64)
+        some = sizes[at] > 0
+        rows, at = rows[some], at[some]
+        n = sizes[at]
+        first = np.r_[0, np.cumsum(sizes)][at]
+        place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key, count = np.unique(np.repeat(rows, n) * (len(self.vocabulary) + 1) + flat[place], return_counts=True)
+        return key // (len(self.vocabulary) + 1), key % (len(self.vocabulary) + 1), count
 
 
 @dataclass(frozen=True)
@@ -80,13 +111,12 @@ class Severity:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def margins(self, texts: list[str], marks: Marks | None = None) -> np.ndarray:
+    def margins(self, texts: pa.Array, marks: Marks | None = None) -> np.ndarray:
+        """The sparse matrix of a part of the texts times the weights, part by part."""
         marks, out = marks or Marks(self.vocabulary), np.zeros(len(texts))
-        for i, text in enumerate(texts if self.vocabulary else ()):
-            found = sorted(marks.counted(text).items())
-            if found:
-                at, n = np.array(found).T
-                out[i] = (self.weights[at] * np.log1p(n)).sum()
+        for at, part in parts(texts) if self.vocabulary else ():
+            row, column, n = marks.counted(part)
+            out[at : at + len(part)] = np.bincount(row, self.weights[column] * np.log1p(n), len(part))
         return out
 
     def over(self, margins: np.ndarray) -> np.ndarray:
@@ -137,6 +167,32 @@ def sample(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int
     return texts.groupBy("body").agg(F.max("label").alias("label")).select("label", "body")
 
 
+def _by_row(keys: np.ndarray, width: int) -> Iterator[tuple[int, list[int]]]:
+    """(row, columns) of sorted row * width + column."""
+    rows, columns = keys // width, keys % width
+    heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else []
+    for a, b in zip(heads, [*heads[1:], len(rows)], strict=True):
+        yield int(rows[a]), columns[a:b].tolist()
+
+
+def cross_graded(at_row: np.ndarray, at_col: np.ndarray, value: np.ndarray, label: np.ndarray, fold: np.ndarray, width: int, grades: int) -> np.ndarray:
+    """Grades 1 to `grades` for rows of label 1, 0 for others: the rank of each by a model of one threshold that saw the other fold only."""
+    grade = np.zeros(len(label), int)
+    for side in (0, 1):
+        seen = np.flatnonzero(fold != side)
+        if not 0 < (label[seen] > 0).sum() < len(seen):
+            return (label > 0).astype(int)
+        of = np.full(len(label), -1)
+        of[seen] = np.arange(len(seen))
+        here = of[at_row] >= 0
+        weights, _ = fit_ordinal(of[at_row[here]], at_col[here], value[here], (label[seen] > 0).astype(int), width, steps=150)
+        margin = np.bincount(at_row, weights[at_col] * value, len(label))
+        ranked = (fold == side) & (label > 0)
+        cuts = np.quantile(margin[ranked], np.arange(1, grades) / grades) if ranked.any() else []
+        grade[ranked] = 1 + np.searchsorted(cuts, margin[ranked], "left")
+    return grade
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY, grades: int = GRADES) -> Severity:
     texts = stored(sample(docs, labels, column, sample_rows), "toxicity-sample")
     kinds = {bool(r.toxic): r.n for r in texts.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -147,8 +203,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for b in batches:
-            for label, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (toxic if label > 0 else clean).update(set().union(*map(marks_of, set(words_of(body)))))
+            labels = b.column(0).to_numpy()
+            for start, part in parts(b.column(1)):
+                rows, words, at = words_of(part)
+                names = words.to_pylist()
+                once = np.unique(rows * (len(names) + 1) + at)
+                for row, of in _by_row(once, len(names) + 1):
+                    (toxic if labels[start + row] > 0 else clean).update(set().union(*(marks_of(names[i]) for i in of)))
         words = list(toxic.keys() | clean.keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["word", "toxic", "clean"])
 
@@ -162,16 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     known = {r.word: i for i, r in enumerate(picked)}
     if not known:
         return nothing
-    marked = {i for r, i in zip(picked, range(len(picked)), strict=True) if r.toxic * kinds[False] > 10 * (r.clean + 0.5) * kinds[True]}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(known)
         for b in batches:
-            bodies = b.column(1).to_pylist()
-            counts = [sorted(marks.counted(body).items()) for body in bodies]
-            hashes = pa.array([xxhash.xxh64_intdigest(body) - (1 << 63) for body in bodies], pa.int64())
-            at, n = (pa.array([[c[k] for c in row] for row in counts], pa.list_(pa.int32())) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([hashes, b.column(0), at, n], names=["hash", "label", "at", "n"])
+            hashes = pa.array([xxhash.xxh64_intdigest(body) - (1 << 63) for body in b.column(1).to_pylist()], pa.int64())
+            for start, part in parts(b.column(1)):
+                row, column, n = marks.counted(part)
+                ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                at, n = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (column, n))
+                yield pa.RecordBatch.from_arrays([hashes.slice(start, len(part)), b.column(0).slice(start, len(part)), at, n], names=["hash", "label", "at", "n"])
 
     rows = texts.mapInArrow(placed, "hash long, label int, at array<int>, n array<int>").toArrow().combine_chunks()  # at most 2 * sample_rows
     order = np.argsort(rows["hash"].to_numpy(), kind="stable")  # sums in one order, so that fits agree to the last bits
@@ -179,14 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     label = rows["label"].to_numpy()
     size = pc.list_value_length(rows["at"]).to_numpy()
     at_row, at_col, n = np.repeat(np.arange(len(label)), size), pc.list_flatten(rows["at"]).to_numpy(), pc.list_flatten(rows["n"]).to_numpy()
-    if label.max() > 1:
-        grade = label.astype(int)
-    else:
-        hits = np.bincount(at_row, n * np.isin(at_col, list(marked)), len(label))
-        cuts = np.quantile(hits[label > 0], np.arange(1, grades) / grades)
-        grade = np.where(label > 0, 1 + np.searchsorted(cuts, hits, "left"), 0)
+    value = np.log1p(n)
+    fold = np.arange(len(label)) % 2  # rows are in the order of a hash
+    grade = label.astype(int) if label.max() > 1 else cross_graded(at_row, at_col, value, label, fold, len(known), grades)
     grade = np.unique(grade, return_inverse=True)[1]
-    weights, thresholds = fit_ordinal(at_row, at_col, np.log1p(n), grade, len(known))
+    weights, thresholds = fit_ordinal(at_row, at_col, value, grade, len(known))
     return Severity(known, weights, thresholds)
 
 
@@ -195,20 +253,21 @@ def score(docs: DataFrame, model: Severity, least: float = LEAST) -> DataFrame:
     name = "toxic_verdict"
     while name in docs.columns:
         name += "_"
-    rows = docs.withColumn(name, F.coalesce("text", F.lit("")))
-    columns = rows.columns
-    schema = StructType([*docs.schema.fields]).add(name, StructType().add("severity", "double").add("toxicity", "double").add("rejected", "boolean"))
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # a name of theirs may hold a dot
+    rows = docs.select(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)), F.coalesce("text", F.lit("")).alias("body"))
+    verdict_type = StructType().add("severity", "double").add("toxicity", "double").add("rejected", "boolean")
+    schema = StructType(rows.schema.fields[:-1]).add("verdict", verdict_type)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(model.vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                over = model.over(model.margins(part.column(len(columns) - 1).to_pylist(), marks))
+                over = model.over(model.margins(part.column(len(columns)), marks))
                 verdict = pa.StructArray.from_arrays([pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= least)], names=["severity", "toxicity", "rejected"])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], verdict], names=columns)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], verdict], names=[*columns, "verdict"])
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(task, schema).toDF(*docs.columns, name)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,4 +280,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     out = score(docs, fit(docs, labels))
     verdict = out.columns[-1]
-    return out.where(~F.col(f"`{verdict}`.rejected")).drop(verdict)
+    return out.where(~F.col(f"`{verdict}`.rejected")).select(*(F.col(f"`{c}`") for c in docs.columns))
