@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from refloom.llm.common import LOWER, UPPER
-from refloom.llm.licenses import COVERAGE, GAP, K, TEMPLATES
+from refloom.llm.licenses import COVERAGE, GAP, K, TEMPLATES, WIDTH
 
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -24,12 +24,15 @@ LICENSES = f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), t AS (SELECT id, label, base, string_split(phrase, ' ') AS p FROM (VALUES {_VALUES}) v(id, label, base, phrase)),
 tg AS (SELECT id, label, base, len(p) - {K - 1} AS grams, i AS place, list_slice(p, i, i + {K - 1}) AS g FROM (SELECT *, unnest(range(1, len(p) - {K - 2})) AS i FROM t)),
 dg AS (SELECT doc_id, i AS word, list_slice(w, i, i + {K - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {K - 2})) AS i FROM d WHERE len(w) >= {K})),
-vote AS (SELECT doc_id, id, label, base, grams, word - place AS diagonal, place FROM dg JOIN tg ON dg.g = tg.g),
+vote AS (SELECT DISTINCT doc_id, id, label, base, grams, word, word - place AS diagonal, place FROM dg JOIN tg ON dg.g = tg.g),
 line AS (SELECT DISTINCT doc_id, id, base, diagonal FROM vote),
 open AS (SELECT *, CASE WHEN base OR lag(diagonal) OVER w IS NULL OR diagonal - lag(diagonal) OVER w > {GAP} THEN 1 ELSE 0 END AS opens FROM line WINDOW w AS (PARTITION BY doc_id, id ORDER BY diagonal)),
 isle AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, id ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS island FROM open),
-span AS (SELECT v.doc_id, v.label, v.base, min(v.diagonal) AS start, count(DISTINCT v.place) / CAST(any_value(v.grams) AS DOUBLE) AS share
- FROM vote v JOIN isle i ON v.doc_id = i.doc_id AND v.id = i.id AND v.diagonal = i.diagonal GROUP BY v.doc_id, v.id, v.label, v.base, i.island HAVING count(DISTINCT v.place) >= CASE WHEN v.base THEN any_value(v.grams) ELSE {COVERAGE} * any_value(v.grams) END),
+part AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY doc_id, id, island)) // {WIDTH + 1} AS part FROM isle),
+ordered AS (SELECT v.*, p.island, p.part, coalesce(v.place > max(v.place) OVER (PARTITION BY v.doc_id, v.id, p.island, p.part ORDER BY v.word, v.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS counts
+ FROM vote v JOIN part p ON v.doc_id = p.doc_id AND v.id = p.id AND v.diagonal = p.diagonal),
+span AS (SELECT doc_id, label, base, min(diagonal) AS start, count(*) FILTER (counts) / CAST(any_value(grams) AS DOUBLE) AS share
+ FROM ordered GROUP BY doc_id, id, label, base, island, part HAVING count(*) FILTER (counts) >= CASE WHEN base THEN any_value(grams) ELSE {COVERAGE} * any_value(grams) END),
 found AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM span GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
