@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -38,3 +39,14 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["k_id"].eqNullSafe(b["k_id"]) & (a["k_text"] == b["k_text"])
+
+
+#: Tables of up to this many bytes are sent to all executors; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if what it holds in memory is proven to be small; its rows are counted and their sizes added up."""
+    sizes = [F.length(F.to_json(c)) if isinstance(f.dataType, (ArrayType, StructType)) else F.coalesce(F.octet_length(c), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in table.schema for c in [F.col(f"`{f.name}`")]]
+    total = table.agg(F.sum(sum(sizes, F.lit(32)))).first()[0] or 0
+    return F.broadcast(table) if total <= limit else table

@@ -1,17 +1,17 @@
-"""Line deduplication by windows of lines.
+"""Line deduplication by content-defined chunks of lines.
 
-A passage is a run of two lines or more with `LEAST_WORDS` words or more, or one line of `LONG_WORDS` words or more. A window is a shortest
-passage: the one that begins at a line, and the one that ends at a line. Every line of a passage stands in a window of it: if the one
-that begins at the line goes beyond the passage, the one that ends with the passage holds the line. So a repeated passage is found whole, whatever
-its lines are and whatever stands around it, as each of its windows repeats.
+A window is a shortest run of lines with `CHUNK_WORDS` words: without its first or its last line it has fewer. It has a rolling hash over the hashes of
+its lines, and of the windows in each run of lines that has `RUN_WORDS` words the one with the least hash is a chunk. Whether a window is a chunk depends on the
+lines about it only, so that the boundaries of chunks move with the text; and any `RUN_WORDS` words or more of lines that stand in two places hold a
+chunk that both places have.
 
-Windows are hashed from sums over the hashes of their lines. One whose hash stands earlier in the corpus, by (doc_id, place), is put together
-with its neighbours that repeat the same document at the same distance; these runs are compared byte by byte with what they
-repeat, and their lines removed. The first stays. Windows overlap, so a passage may repeat one of which other lines repeat a
-third one: a line only goes where an earlier one equals it, and the first of equal lines never does.
+A chunk whose hash stands earlier in the corpus, by (doc_id, place), leads to that earlier place. From there both texts are followed to both
+sides as long as their lines have equal hashes; these runs are compared byte by byte and their lines removed. So a repeated passage is
+found whatever its lines are and whatever stands around it, but where another text holds one of its chunks earlier still, it is followed as far as that
+one agrees. A line only goes where an earlier one equals it, and the first of equal lines never does. Passages of fewer than `RUN_WORDS` words may be left.
 
 Null texts stay null. Rows that agree in id and text are one document, of which each row gets the same text; null ids come last in the order.
-Empty texts and empty tables have no windows. Columns other than doc_id, text and n_chars are passed on as they are.
+Empty texts and empty tables have no chunks. Columns other than text and n_chars are passed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,69 +24,115 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import keyed
+from refloom.llm.common import broadcast_if_small, keyed
 from refloom.sources.shared import stored
 
-LONG_WORDS, LEAST_WORDS = 40, 20
+CHUNK_WORDS, RUN_WORDS = 20, 30
+#: Characters of text whose lines are worked on at once.
+PART_CHARS = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(first line, line after the last) of each window."""
-    n = len(lines)
-    words = np.fromiter((len(line.split()) for line in lines), np.int64, n)
-    upto, at = np.r_[0, np.cumsum(words)], np.arange(n)
-    after = np.maximum(np.searchsorted(upto, upto[:-1] + LEAST_WORDS), at + 2)
-    start = np.minimum(np.searchsorted(upto, upto[1:] - LEAST_WORDS, "right") - 1, at - 1)
-    ahead, back, alone = at[after <= n], at[start >= 0], at[words >= LONG_WORDS]
-    both = np.unique(np.r_[ahead * (n + 1) + after[ahead], start[back] * (n + 1) + back + 1, alone * (n + 1) + alone + 1])
-    return both // (n + 1), both % (n + 1)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.r_[np.uint64(1), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)]
 
 
-def window_hashes(lines: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal for equal lines, wherever they stand: a polynomial in the lines' hashes, from sums up to each line."""
-    n = len(lines)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line, 7) for line in lines), np.uint64, n)
-    power = lambda base: np.r_[np.uint64(1), np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)]
-    sums = np.r_[np.uint64(0), np.cumsum(hashes * power(_BASE)[:n], dtype=np.uint64)]
-    return (sums[b] - sums[a]) * power(_INVERSE)[a] + (b - a).astype(np.uint64) * np.uint64(_BASE)
+    n = len(hashes)
+    sums = np.r_[np.uint64(0), np.cumsum(hashes * _powers(_BASE, n)[:n], dtype=np.uint64)]
+    raw = (sums[b] - sums[a]) * _powers(_INVERSE, n)[a] + (b - a).astype(np.uint64) * np.uint64(_BASE)
+    raw = (raw ^ raw >> np.uint64(32)) * _MIX  # so that the least hash has nothing to do with the number of lines
+    return raw ^ raw >> np.uint64(29)
 
 
-def chunks(text: str) -> Iterator[tuple[int, int, bytes]]:
-    """(first line, line after the last, content) of each window."""
-    lines = text.encode().split(b"\n")
-    for a, b in zip(*(x.tolist() for x in windows(lines)), strict=True):
-        yield a, b, b"\n".join(lines[a:b])
+def chunks(hashes: np.ndarray, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, line after the last, hash) of each chunk, of the lines of several texts; `ends` is where the text of each line ends."""
+    n = len(words)
+    upto, at = np.r_[0, np.cumsum(words)], np.arange(n)
+    first_after = lambda least: np.searchsorted(upto, upto[:-1] + least)
+    after = first_after(CHUNK_WORDS)
+    inside = after <= ends
+    # Of the runs that end together the last to start is shortest.
+    shortest = inside & np.r_[after[1:] != after[:-1], np.ones(min(n, 1), bool)]
+    a, b = at[shortest], after[shortest]
+    g = window_hashes(hashes, a, b)
+    run = first_after(RUN_WORDS)
+    starts = at[run <= ends]
+    low, high = np.searchsorted(a, starts), np.searchsorted(b, run[starts], "right")
+    best = low.copy()
+    for more in range(1, int((high - low).max(initial=1))):
+        other = np.minimum(low + more, high - 1)
+        best = np.where(g[other] <= g[best], other, best)
+    chosen = np.unique(best)
+    return a[chosen], b[chosen], g[chosen]
+
+
+def _read_lines(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, words) of each line of the texts, and how many lines each text has."""
+    lines = [body.encode().split(b"\n") for body in bodies]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    flat = [line for of in lines for line in of]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(line, 7) for line in flat), np.uint64, len(flat))
+    return hashes, np.fromiter((len(line.split()) for line in flat), np.int64, len(flat)), sizes
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about PART_CHARS characters, a row at the least."""
+    at, held = 0, 0
+    for i, body in enumerate(batch.column(column)):
+        held += len(body.as_buffer() or b"")
+        if held >= PART_CHARS or i + 1 == batch.num_rows:
+            yield batch.slice(at, i + 1 - at)
+            at, held = i + 1, 0
 
 
 def chunk_rows(texts: DataFrame) -> DataFrame:
-    """A row for each window: k_id, k_text, hash, line, after."""
-    schema = texts.select("k_id", "k_text").schema.add("hash", "long").add("line", "integer").add("after", "integer")
+    """A row for each chunk: k_id, k_text, hash, line, after, n_lines (of its text)."""
+    schema = texts.select("k_id", "k_text").schema.add("hash", "long").add("line", "integer").add("after", "integer").add("n_lines", "integer")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                starts, ends, hashes, sizes = [], [], [], []
-                for body in part.column(2):
-                    lines = body.as_py().encode().split(b"\n")
-                    a, b = windows(lines)
-                    sizes.append(len(a))
-                    if len(a):
-                        starts.append(a)
-                        ends.append(b)
-                        hashes.append(window_hashes(lines, a, b))
-                if not starts:
-                    continue
-                index = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                columns = [part.column(0).take(index), part.column(1).take(index), pa.array(np.concatenate(hashes).view(np.int64))]
-                columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, ends)]
+            for part in _parts(batch, 2):
+                hashes, words, sizes = _read_lines(part.column(2).to_pylist())
+                upto = np.cumsum(sizes)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                a, b, g = chunks(hashes, words, upto[of])
+                of, start = of[a], (upto - sizes)[of[a]]
+                index = pa.array(of)
+                columns = [part.column(0).take(index), part.column(1).take(index), pa.array(g.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (a - start, b - start, sizes[of]))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return texts.mapInArrow(task, schema)
 
 
+def _followed(rows: DataFrame) -> DataFrame:
+    """(k_id, k_text, f_id, f_text, by, line, after): the runs of lines about the seeds in which the texts agree. rows: (k_id, k_text, f_id, f_text, by, seeds, own, other), the last two
+    the hashes of the lines of one text, and of those lines of the other that are `by` lines further; null where it has none."""
+    keep = ["k_id", "k_text", "f_id", "f_text", "by"]
+    schema = rows.select(*keep).schema.add("line", "integer").add("after", "integer")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, starts, stops = [], [], []
+            for i in range(batch.num_rows):
+                seeds, own, other = (batch.column(c)[i].values for c in (5, 6, 7))
+                seeds, own = seeds.to_numpy(zero_copy_only=False), own.to_numpy(zero_copy_only=False)
+                there = ~other.is_null().to_numpy(zero_copy_only=False)
+                same = there & (own == other.fill_null(0).to_numpy(zero_copy_only=False))
+                edges = np.flatnonzero(np.diff(np.r_[False, same, False]))
+                for run in np.unique(np.searchsorted(edges[::2], seeds, "right") - 1):
+                    index.append(i)
+                    starts.append(edges[2 * run])
+                    stops.append(edges[2 * run + 1])
+            at = pa.array(index, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(5)), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=schema.names)
+
+    return rows.select(*keep, "seeds", "own", "other").mapInArrow(task, schema)
+
+
 def _merged(spans: Column) -> Column:
     """Sorted (line, after) spans, those that touch or overlap made one."""
 
@@ -98,23 +144,47 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<line:int,after:int>>"), step)
 
 
+def _of(rows: DataFrame, key: DataFrame, k_id: str, k_text: str) -> Column:
+    return rows["k_id"].eqNullSafe(key[k_id]) & (rows["k_text"] == key[k_text])
+
+
+def _agreeing(texts: DataFrame) -> DataFrame:
+    """(k_id, k_text, f_id, f_text, by, line, after): runs of lines that an earlier place holds, by the hashes of lines."""
+    rows = stored(chunk_rows(texts), "chunks")
+    place = F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text", "line")
+    repeated = rows.groupBy(F.col("hash").alias("of")).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
+    repeated = broadcast_if_small(stored(repeated.select("of", "first"), "repeated-hashes"))
+    found = rows.join(repeated, F.col("hash") == F.col("of")).where(~place.eqNullSafe(F.col("first")))
+    found = found.select("k_id", "k_text", "n_lines", F.col("first.k_id").alias("f_id"), F.col("first.k_text").alias("f_text"), (F.col("first.line") - F.col("line")).alias("by"), "line")
+    pairs = stored(found.groupBy("k_id", "k_text", "n_lines", "f_id", "f_text", "by").agg(F.array_sort(F.collect_set("line")).alias("seeds")), "seeds")
+    touched = pairs.select(F.col("k_id").alias("t_id"), F.col("k_text").alias("t_text")).union(pairs.select("f_id", "f_text")).distinct()
+    touched = broadcast_if_small(stored(touched, "touched"))
+    line_hashes = F.transform(F.split("body", "\n"), lambda x: F.xxhash64(x)).alias("lines")
+    lines = stored(texts.join(touched, _of(texts, touched, "t_id", "t_text"), "left_semi").select("k_id", "k_text", line_hashes).dropDuplicates(["k_id", "k_text"]), "line-hashes")
+    first = lines.select(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text"), F.col("lines").alias("there"))
+    rows = pairs.join(first, pairs["f_id"].eqNullSafe(first["g_id"]) & (pairs["f_text"] == first["g_text"]))
+    # Only those lines of the earlier text go on that lie beside the later one.
+    start, n = F.greatest(F.col("by"), F.lit(0)), F.col("n_lines")
+    lead = F.array_repeat(F.lit(None).cast("long"), F.greatest(-F.col("by"), F.lit(0)))
+    beside = F.slice("there", start + 1, F.greatest(n - F.greatest(-F.col("by"), F.lit(0)), F.lit(0)))
+    padded = F.concat(lead, beside)
+    padded = F.slice(F.concat(padded, F.array_repeat(F.lit(None).cast("long"), F.greatest(n - F.size(padded), F.lit(0)))), 1, n)
+    rows = rows.select("k_id", "k_text", "f_id", "f_text", "by", "seeds", padded.alias("other"))
+    own = lines.select(F.col("k_id").alias("h_id"), F.col("k_text").alias("h_text"), F.col("lines").alias("own"))
+    return _followed(rows.join(own, _of(rows, own, "h_id", "h_text")).select("k_id", "k_text", "f_id", "f_text", "by", "seeds", "own", "other"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(k_id, k_text, line, after): the runs of lines that equal an earlier one, byte by byte."""
     texts = keyed(docs)
-    place = F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text", "line")
-    counts = chunk_rows(texts).groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last")))
-    counts = stored(counts.select(F.col("hash").alias("of"), "first"), "repeated-hashes")
-    found = chunk_rows(texts).join(counts, F.col("hash") == F.col("of")).where(~place.eqNullSafe(F.col("first")))
-    found = found.select("k_id", "k_text", "line", "after", F.col("first.k_id").alias("f_id"), F.col("first.k_text").alias("f_text"), (F.col("first.line") - F.col("line")).alias("by"))
-    runs = found.groupBy("k_id", "k_text", "f_id", "f_text", "by").agg(F.array_sort(F.collect_set(F.struct("line", "after"))).alias("spans"))
-    runs = stored(runs.select("k_id", "k_text", "f_id", "f_text", "by", F.inline(_merged(F.col("spans")))), "repeated-runs")
+    runs = stored(_agreeing(texts).distinct(), "repeated-runs")
     # What repeats and what is repeated are cut from the texts in one pass.
     n, f_line = F.col("after") - F.col("line"), F.col("line") + F.col("by")
     later = runs.select("k_id", "k_text", F.lit(False).alias("is_first"), "line", n.alias("n"), "f_id", "f_text", f_line.alias("f_line"))
     first = runs.select(F.col("f_id").alias("k_id"), F.col("f_text").alias("k_text"), F.lit(True).alias("is_first"), f_line.alias("line"), n.alias("n"), "f_id", "f_text", f_line.alias("f_line"))
     wanted = later.union(first.distinct()).groupBy(F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text"))
-    wanted = wanted.agg(F.collect_list(F.struct("is_first", "line", "n", "f_id", "f_text", "f_line")).alias("wanted"))
-    rows = texts.join(wanted, F.col("k_id").eqNullSafe(F.col("w_id")) & (F.col("k_text") == F.col("w_text")))
+    wanted = broadcast_if_small(stored(wanted.agg(F.collect_list(F.struct("is_first", "line", "n", "f_id", "f_text", "f_line")).alias("wanted")), "wanted"))
+    rows = texts.join(wanted, _of(texts, wanted, "w_id", "w_text"))
     cut = rows.select("k_id", "k_text", F.split("body", "\n").alias("lines"), "wanted")
     cut = cut.select("k_id", "k_text", F.inline(F.transform("wanted", lambda w: F.struct(*(w[c].alias(c) for c in ("is_first", "line", "n", "f_id", "f_text", "f_line")), F.array_join(F.slice("lines", w["line"] + 1, w["n"]), "\n").alias("content")))))
     cut = stored(cut, "repeated-chunks")
@@ -124,14 +194,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return cut.where("not is_first").join(as_first, same).select("k_id", "k_text", "line", (F.col("line") + F.col("n")).alias("after"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated passages; n_chars, if it is there, is the length of the new text. Column k_removed: lines removed."""
-    gone = repeated_chunks(docs).groupBy(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text")).agg(_merged(F.array_sort(F.collect_set(F.struct("line", "after")))).alias("k_gone"))
+def without(docs: DataFrame, gone: DataFrame, count: str | None) -> DataFrame:
+    """The documents without the spans of lines in gone, with the new n_chars and, if named, how many lines went."""
+    spans = gone.groupBy(F.col("k_id").alias("g_id"), F.col("k_text").alias("g_text")).agg(_merged(F.array_sort(F.collect_set(F.struct("line", "after")))).alias("spans"))
+    spans = broadcast_if_small(stored(spans, "removed-lines"))
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["g_id"]) & (key == gone["g_text"]), "left")
-    stays = lambda _, i: ~F.exists(F.col("k_gone"), lambda g: (g["line"] <= i) & (i < g["after"]))
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), stays), "\n")
-    text = F.when(gone["k_gone"].isNull(), docs["text"]).otherwise(left).alias("text")
-    removed = F.aggregate(F.coalesce("k_gone", F.array().cast("array<struct<line:int,after:int>>")), F.lit(0), lambda n, g: n + g["after"] - g["line"]).alias("k_removed")
-    out = rows.select(*(text if c == "text" else docs[f"`{c}`"] for c in docs.columns), removed)
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out
+    rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["g_id"]) & (key == spans["g_text"]), "left")
+    # What stays lies between the spans: from the end of one to the start of the next.
+    lines, s = F.split(docs["text"], "\n"), spans["spans"]
+    starts = F.concat(F.array(F.lit(0)), F.transform(s, lambda g: g["after"]))
+    stops = F.concat(F.transform(s, lambda g: g["line"]), F.array(F.size(lines)))
+    left = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
+    text = F.when(s.isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
+    removed = F.aggregate(F.coalesce(s, F.array().cast("array<struct<line:int,after:int>>")), F.lit(0), lambda n, g: n + g["after"] - g["line"])
+    own = {"text": text, "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return rows.select(*(own.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns), *([removed.alias(count)] if count else []))
+
+
+def dedup_lines(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """The documents without repeated passages; n_chars, if it is there, is the length of the new text. `count` names a column for the number of lines removed."""
+    if count in docs.columns:
+        raise ValueError(f"the documents have a column {count!r} of their own")
+    return without(docs, repeated_chunks(docs), count)

@@ -42,8 +42,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", "n_chars", F.col("k_removed").alias("lines_removed"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), "lines_removed").select("doc_id", "text", "n_chars", "lines_removed")
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
