@@ -16,10 +16,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import types
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +47,64 @@ KEPT_CHARS = 48
 CHUNK = 65_536
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+# Code points that have no character in Unicode 16, which the vocabularies' encoders go by, but are letters or numbers to the `regex` package.
+LATER_LETTERS = (
+    "\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D"
+    "\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1"
+    "\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    "\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24"
+    "\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5"
+    "\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD"
+    "\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+LATER_NUMBERS = "\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+#: Texts without characters from here on are split by classes written out, which the standard library's patterns are quicker with.
+NARROW = 0x250
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """The ranks of a file of tokens in base 64, each with its rank."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
+
+
+def _narrow_class(kinds: str) -> str:
+    """The characters under NARROW of these general categories, as ranges of a class."""
+    return "".join(f"\\x{c:02x}" if c < 256 else f"\\u{c:04x}" for c in range(NARROW) if unicodedata.category(chr(c))[0] in kinds)
+
+
+def narrowed(pattern: str) -> str | None:
+    """The pattern with classes written out for characters under NARROW; None if it has escapes other than these."""
+    known = {r"\p{L}": _narrow_class("L"), r"\p{N}": _narrow_class("N"), r"\s": r"\t-\r \x85\xa0"}
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        escape = next((e for e in (*known, r"\S") if pattern.startswith(e, at)), None)
+        if escape == r"\S" and not inside:
+            out.append(f"[^{known[chr(92) + 's']}]")
+        elif escape in known:
+            out.append(known[escape] if inside else f"[{known[escape]}]")
+        elif pattern[at] == "\\":
+            return None
+        else:
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out.append(pattern[at])
+        at += len(escape or "x")
+    return "".join(out)
+
+
+class Splitter:
+    """All matches of a vocabulary's pattern in a text, by the classes of Unicode 16."""
+
+    def __init__(self, pattern: str):
+        narrow = narrowed(pattern)
+        exact = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{LATER_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER_NUMBERS}]]")
+        self.wide, self.narrow = regex.compile(pattern).findall, narrow and re.compile(narrow).findall
+        self.exact = regex.compile(exact, regex.V1).findall
+        self.is_wide, self.is_later = re.compile(f"[{chr(NARROW)}-{chr(0x10FFFF)}]").search, re.compile(f"[{LATER_LETTERS}{LATER_NUMBERS}]").search
+
+    def __call__(self, text: str) -> list[str]:
+        if self.narrow and (text.isascii() or not self.is_wide(text)):
+            return self.narrow(text)
+        return self.exact(text) if self.is_later(text) else self.wide(text)
 
 
 class Transducer:
@@ -274,7 +332,7 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.words = Words(self.machine)
-        self.split = regex.compile(pattern).findall
+        self.split = Splitter(pattern)
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -294,23 +352,28 @@ class Tokenizer:
         yield machine.end()
 
 
-def tokenizer(path: str, pattern: str) -> Tokenizer:
+def tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
     """The worker's tokenizer of this vocabulary, kept from task to task."""
     kept = sys.modules.setdefault("refloom_worker", types.ModuleType("refloom_worker")).__dict__
-    if (path, pattern) not in kept:
-        kept[path, pattern] = Tokenizer(read_ranks(path), pattern)
-    return kept[path, pattern]
+    key = hashlib.sha256(ranks).digest(), pattern
+    if key not in kept:
+        kept[key] = Tokenizer(read_ranks(ranks), pattern)
+    return kept[key]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
+    """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
+
+    The file of ranks is read by the driver and broadcast (a vocabulary, under a megabyte); executors need no file of that path.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     schema = texts.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path, pattern)
+        tok = tokenizer(shipped.value, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
