@@ -86,14 +86,14 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, trainin
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> trees.Trees:
-    """Trees for the label `quality`; equal texts count once."""
+    """Trees for the label `quality`; equal texts count once, with the least of their labels."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = measured(b.column(2).to_pylist())[1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in x.T)], names=["k_id", "label", *FEATURES])
 
-    sample = labelled(docs, labels, "quality", sample_rows).dropDuplicates(["body"])
+    sample = labelled(docs, labels, "quality", sample_rows).groupBy("body").agg(F.min("k_id").alias("k_id"), F.min("label").alias("label")).select("k_id", "label", "body")
     rows = sample.mapInArrow(task, "k_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy("k_id").toPandas()
     return trees.boost(rows[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float), trees=80, depth=3, monotone=MONOTONE)
 

@@ -129,8 +129,8 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
-    """The ensemble for the label `quality`, learnt from rows that are not held out; equal texts count once."""
-    sample = labelled(docs, labels, "quality", sample_rows, lambda i: ~is_held_out(i)).dropDuplicates(["body"])
+    """The ensemble for the label `quality`, learnt from rows that are not held out; equal texts count once, with the least of their labels."""
+    sample = labelled(docs, labels, "quality", sample_rows, lambda i: ~is_held_out(i)).groupBy("body").agg(F.min("k_id").alias("k_id"), F.min("label").alias("label")).select("k_id", "label", "body")
     rows = statistics(sample).orderBy("k_id").toPandas()
     return fit_sample(rows[STATS].to_numpy(float).reshape(-1, len(STATS)), rows["label"].to_numpy(float))
 
