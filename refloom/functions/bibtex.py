@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 from refloom.functions.cleanup import clean_text
-from refloom.functions.parsing import find_doi
+from refloom.functions.citations import DOI_ITSELF
 
 # Where a venue is looked for, in this order, and names that stand for further authors.
 VENUE_FIELDS = ("journal", "booktitle", "school", "institution", "publisher", "howpublished")
@@ -143,11 +143,15 @@ def entry_fields(kind: str, fields: dict[str, str]) -> dict:
     years = [m[1] for k in ("year", "date") if k in text and (m := re.search(r"\b(\d{4})\b", text[k]))]
     out = {
         "title": text.get("title") or None, "authors": authors, "et_al": any(s.lower() in OTHERS for s, _ in people), "year": int(years[0]) if years else None,
-        "venue": next((text[k] for k in VENUE_FIELDS if text.get(k)), None), "doi": find_doi(text["doi"]) if text.get("doi") else None, "entry_type": kind,
+        "venue": next((text[k] for k in VENUE_FIELDS if text.get(k)), None), "doi": named[1].lower() if (named := re.search(DOI_ITSELF, text.get("doi", ""), re.IGNORECASE)) else None, "entry_type": kind,
     }
     return out | {"confidence": {k: 1.0 if out[k] else 0.0 for k in ("title", "authors", "year", "venue", "doi")}}
 
 
+# Warnings.
+BROKEN_ENTRY = "Line {line}: entry could not be parsed (BibTeX syntax error); marked UNPARSEABLE."
+REPEATED_KEY = "Line {line}: duplicate citation key '{key}'; both entries are checked."
+REPEATED_FIELD = "Line {line}: entry '{key}' repeats a field; only one of the values is used."
 EMPTY = {"title": None, "authors": [], "et_al": False, "year": None, "venue": None, "doi": None, "entry_type": None, "confidence": dict.fromkeys(("title", "authors", "year", "venue", "doi"), 0.0)}
 
 
@@ -181,14 +185,14 @@ def parse_bibtex(text: str) -> tuple[list[dict], list[str]]:
             if kind in ("string", "comment", "preamble"):
                 continue
             raw, after = text[head.start() : limit], head.end()
-            warnings.append(f"Line {line}: entry could not be parsed (BibTeX syntax error); marked UNPARSEABLE.")
+            warnings.append(BROKEN_ENTRY.format(line=line))
             named = _raw_key.search(raw)
             rows.append({"raw": one_line(raw), "key": named[1] if named else None, "line": line, "fields": EMPTY})
             continue
         if key[1] in seen:
-            warnings.append(f"Line {line}: duplicate citation key '{key[1]}'; both entries are checked.")
+            warnings.append(REPEATED_KEY.format(line=line, key=key[1]))
         elif twice:
-            warnings.append(f"Line {line}: entry '{key[1]}' repeats a field; only one of the values is used.")
+            warnings.append(REPEATED_FIELD.format(line=line, key=key[1]))
         seen.add(key[1])
         rows.append({"raw": one_line(text[head.start() : end]), "key": key[1], "line": line, "fields": entry_fields(kind, fields)})
     return [{"idx": i, **r} for i, r in enumerate(rows, 1)], warnings

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from typing import Any
 
+from refloom.errors import redact
+
 # Fields of an account, and where a service keeps an account's searches.
 DROPPED = frozenset({"api_key", "json_endpoint", "raw_html_file", "prettify_html_file", "pixel_position_endpoint"})
 ARCHIVE = "/searches/"
-REDACTED = "[REDACTED]"
-_param = re.compile(r"""(api_key["']?\s*[=:]\s*["']?)[^&\s"',}]+""", re.I)
-_key = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64}(?![0-9a-fA-F])")
-
-
-def redacted(text: str, secrets: tuple[str, ...] = ()) -> str:
-    for secret in sorted((s for s in secrets if len(s) >= 8), key=len, reverse=True):
-        text = text.replace(secret, REDACTED)
-    return _key.sub(REDACTED, _param.sub(rf"\g<1>{REDACTED}", text))
 
 
 def sanitized(value: Any, secrets: tuple[str, ...] = ()) -> Any:
@@ -26,4 +18,4 @@ def sanitized(value: Any, secrets: tuple[str, ...] = ()) -> Any:
         return {str(k): sanitized(v, secrets) for k, v in value.items() if not private(str(k), v)}
     if isinstance(value, list):
         return [sanitized(v, secrets) for v in value]
-    return redacted(value, secrets) if isinstance(value, str) else value
+    return redact(value, secrets) if isinstance(value, str) else value

@@ -1,7 +1,7 @@
 """Text functions as Spark expressions: no Python runs.
 
-`fold` is exact for texts of characters up to U+024F (Latin with its accents); `refloom.functions.udfs.fold` is exact for every
-text. Java's character classes are ASCII unless a pattern starts with (?U), so all of them do.
+`fold` is exact for texts of characters up to U+024F (Latin with its accents); `refloom.functions.udfs.exact_fold` is exact for every
+text and takes only the others to Python. Java's character classes are ASCII unless a pattern starts with (?U), so all of them do.
 """
 
 from __future__ import annotations
@@ -56,6 +56,11 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\W_]+", " "))
 
 
+def is_wide(text: Column) -> Column:
+    """Whether a text has characters that `fold` doesn't know: beyond U+024F, marks that stand alone among them."""
+    return text.rlike("[^\u0000-\u024F]")
+
+
 def words(folded: Column) -> Column:
     return F.array_remove(F.split(folded, " "), "")
 

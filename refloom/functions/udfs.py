@@ -1,16 +1,15 @@
-"""The string kernels as Arrow UDFs: one struct for all that a pair or a citation needs, so that rows cross to Python once."""
+"""String kernels as Arrow UDFs."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from refloom.config import MATCH, PARSE, Match, Parse
-from refloom.functions import cleanup, parsing, strings, summaries
-from refloom.schema import FIELDS
+from refloom.functions import cleanup, compare, jsontext, parsing, strings, text
 
 
 def _each(function: Callable, kind: str) -> Callable[..., Column]:
@@ -32,60 +31,27 @@ def _each(function: Callable, kind: str) -> Callable[..., Column]:
 
 
 fold = _each(strings.fold, "string")
-canonical_words = _each(strings.canonical_words, "array<string>")
-clean_text = _each(cleanup.clean_text, "string")
-decode_text = _each(lambda b: cleanup.decode_text(bytes(b)), "string")
-indel_ratio = _each(strings.ratio, "double")
-token_sort_ratio = _each(strings.token_sort_ratio, "double")
-lcs_length = _each(strings.lcs, "int")
-title_similarity = _each(strings.title_similarity, "double")
-title_overlap = _each(strings.title_overlap, "double")
-title_status = _each(strings.title_status, "string")
-same_words = _each(strings.same_words, "boolean")
-venue_similarity = _each(strings.venue_similarity, "double")
-
-PAIR = "title_score double, title_status string, author_share double, first_author boolean, venue_score double, venue_words int"
-
-
-def score_pair(cfg: Match = MATCH) -> Callable[..., Column]:
-    """(cited title, found title, cited surnames, found names, found names cut short, cited venue, found venue) -> PAIR.
-
-    Everything that follows from these numbers is left to Spark expressions.
-    """
 
-    def run(cited: pd.Series, found: pd.Series, surnames: pd.Series, names: pd.Series, cut: pd.Series, venue: pd.Series, found_venue: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, f, s, n, c, v, w in zip(cited, found, surnames, names, cut, venue, found_venue, strict=True):
-            t, f, s, n = t or "", f or "", [] if s is None else list(s), [] if n is None else list(n)
-            first = [strings.surname_key(x[0]) if x else "" for x in (s, n)]
-            pair = strings.TitlePair(t, f, cfg.subtitle_score)
-            rows.append((
-                pair.score,
-                pair.status(cfg.title_match, cfg.word_match, cfg.title_reject, cfg.overlap_min_words),
-                strings.author_share(s, n, bool(c), cfg.surname_match),
-                all(first) and strings.same_surname(*first, cfg.surname_match),
-                strings.venue_similarity(v, w) if v and w else None,
-                min(len(strings.venue_tokens(v)), len(strings.venue_tokens(w))) if v and w else None,
-            ))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR.split(", ")])
 
-    return F.pandas_udf(run, PAIR)
+def exact_fold(column: Column) -> Column:
+    """As `text.fold` where that is exact; texts with other characters go through Arrow."""
+    wide = text.is_wide(column)
+    return F.when(wide, fold(F.when(wide, column))).otherwise(text.fold(column))
 
 
-def parse_fields(cfg: Parse = PARSE) -> Callable[[Column], Column]:
-    def run(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parsing.parse_fields(r or "", cfg) for r in raw], columns=["title", "authors", "et_al", "year", "venue", "doi", "entry_type", "confidence"]).astype({"year": "Int32"})
+def exact_surname_keys(names: Column) -> Column:
+    """The last folded word of each name of an array."""
+    wide = F.exists(names, text.is_wide)
+    return F.when(wide, compare.surname_keys(F.when(wide, names))).otherwise(F.transform(names, text.surname_key))
 
-    return F.pandas_udf(run, FIELDS)
 
-
-def _parse_summary(summary: pd.Series, names: pd.Series) -> pd.DataFrame:
-    rows = [summaries.parse_summary(s or "", [x for x in (() if n is None else n) if x]) for s, n in zip(summary, names, strict=True)]
-    return pd.DataFrame(rows, columns=["authors", "authors_truncated", "venue", "venue_truncated", "year", "source"]).astype({"year": "Int32"})
-
-
-def parse_summary(summary: Column, names: Column) -> Column:
-    return F.pandas_udf(_parse_summary, summaries.SUMMARY)(summary, names)
+sanitized_json = _each(lambda body: json.dumps(jsontext.sanitized(json.loads(body)), ensure_ascii=False, separators=(",", ":")), "string")
+canonical_words = _each(strings.canonical_words, "array<string>")
+clean_text = _each(cleanup.clean_text, "string")
+decode_text = _each(lambda b: cleanup.decode_text(bytes(b)), "string")
+indel_ratio = _each(strings.ratio, "double")
+token_sort_ratio = _each(strings.token_sort_ratio, "double")
+lcs_length = _each(strings.lcs, "int")
 
 
 def _parse_authors(segment: pd.Series) -> pd.DataFrame:
