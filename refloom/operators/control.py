@@ -5,10 +5,16 @@ Order in time is an explicit column everywhere, so that results don't depend on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from refloom.config import SEARCH, Search
+from refloom.errors import HIDDEN, KEY_LIKE, KEY_VALUE, worth_hiding
+from refloom.operators.numbering import RUN, in_runs, running_min, running_sum
 
 ANSWERED, TIMEOUT, REFUSED, FAILED = "ok", "timeout", "retryable", "fatal"
 
@@ -58,45 +64,52 @@ def single_flight(requests: DataFrame, key: str = "cache_key") -> DataFrame:
     return requests.groupBy(key).agg(F.count("*").alias("requests"))
 
 
-def granted(requests: DataFrame, by: list[str], order: list[str], limit: int | Column, live: Column | None = None) -> DataFrame:
-    """Adds `granted`: whether the budget of its account still had a credit for a request. Requests that are not live cost nothing.
+def _refused(limit: int | float | Column, what: str, least: float) -> None:
+    if not isinstance(limit, Column) and not limit >= least:
+        raise ValueError(f"{what} may not be under {least:g}")
 
-    The running count is a window over an account's requests.
-    """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    live = F.lit(True) if live is None else live
-    spent = F.sum(live.cast("int")).over(w)
-    return requests.withColumn("granted", ~live | (spent <= limit))
+
+def granted(requests: DataFrame, by: list[str], order: list[str], limit: int | Column, live: Column | None = None) -> DataFrame:
+    """Adds `granted`: whether the budget of its account still had a credit for a request. Requests that are not live cost nothing."""
+    _refused(limit, "a budget", 0)
+    live = F.coalesce(F.lit(True) if live is None else live, F.lit(False))
+    rows = running_sum(in_runs(requests.withColumn("n_live", live.cast("int")), order), by, order, "n_spent", F.col("n_live"))
+    return rows.withColumn("granted", (F.col("n_live") == 0) | (F.col("n_spent") <= limit)).drop("n_live", "n_spent", RUN)
 
 
 def granted_by_all(requests: DataFrame, budgets: list[tuple[list[str], int]], order: list[str]) -> DataFrame:
-    """Adds `granted` for several budgets that have to agree, all or none.
+    """Adds `granted` for several budgets that have to agree, all or none; a budget without an account is one for all requests.
 
     A request that one budget refuses spends nothing of the others. With nested accounts, the innermost first, its refusals are known before
     the next one counts.
     """
-    out = requests.withColumn("granted", F.lit(True))
+    if not budgets:
+        raise ValueError("at least one budget is needed")
+    out = in_runs(requests.withColumn("granted", F.lit(True)), order)
     for by, limit in budgets:
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        spent = F.sum(F.col("granted").cast("int")).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("granted", F.col("granted") & (spent <= limit))
-    return out
+        _refused(limit, "a budget", 0)
+        out = running_sum(out, by, order, "n_spent", F.col("granted").cast("int"))
+        out = out.withColumn("granted", F.col("granted") & (F.col("n_spent") <= limit)).drop("n_spent")
+    return out.drop(RUN)
 
 
 def token_bucket(requests: DataFrame, by: str, order: list[str], seconds: Column, per_hour: float) -> DataFrame:
-    """by, waits: for each request of an account, in order, the seconds to wait. A fold over an account's requests in order of time."""
-    capacity, rate = float(max(1.0, per_hour)), per_hour / 3600.0
-    rows = requests.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(seconds.cast("double").alias("t"), *order))).alias("seen"))
-    start = F.struct(F.lit(capacity).alias("tokens"), F.get("seen", F.lit(0))["t"].alias("last"), F.array().cast("array<double>").alias("waits"))
-
-    def step(acc: Column, r: Column) -> Column:
-        tokens = F.least(F.lit(capacity), acc["tokens"] + (r["t"] - acc["last"]) * F.lit(rate)) - F.lit(1.0)
-        wait = F.greatest(F.lit(0.0), -tokens / F.lit(rate))
-        return F.struct(tokens.alias("tokens"), r["t"].alias("last"), F.concat(acc["waits"], F.array(wait)).alias("waits"))
+    """by, waits: for each request of an account, in order of time, the seconds to wait.
 
-    folded = rows.withColumn("waits", F.aggregate("seen", start, step, lambda a: a["waits"]))
-    pairs = F.arrays_zip(F.col("seen"), F.col("waits"))
-    return folded.select(by, F.explode(pairs).alias("p")).select(by, *(F.col(f"p.seen.{c}").alias(c) for c in order), F.col("p.waits").alias("wait_s"))
+    After its i-th request an account has the least, over all j up to i, of what a bucket that was full at request j holds now: capacity + rate (t_i - t_j) - (i - j + 1).
+    So a running count and a running least say all, and an account of any size is spread over tasks.
+    """
+    if not per_hour > 0:
+        raise ValueError("a rate has to be over 0")
+    capacity, rate = float(max(1.0, per_hour)), per_hour / 3600.0
+    time = ["n_time", *order]
+    # Seconds from a whole number of them near the first request, so that small differences keep their digits.
+    start = requests.agg(F.floor(F.min(seconds))).first()[0] or 0
+    rows = in_runs(requests.withColumn("n_time", seconds.cast("double") - F.lit(float(start))), time)
+    rows = running_sum(rows, [by], time, "n_th", F.lit(1))
+    rows = running_min(rows, [by], time, "n_least", F.col("n_th") - F.lit(rate) * F.col("n_time"))
+    tokens = F.lit(capacity - 1.0) + F.lit(rate) * F.col("n_time") - F.col("n_th") + F.col("n_least")
+    return rows.select(by, *order, F.greatest(F.lit(0.0), -tokens / F.lit(rate)).alias("wait_s"))
 
 
 def billed(attempts: DataFrame, cfg: Search = SEARCH) -> DataFrame:
@@ -131,23 +144,57 @@ def pacing_rate(hourly_limit: Column, cfg: Search = SEARCH) -> Column:
     return F.when(hourly_limit > 0, F.greatest(F.lit(1.0), hourly_limit * F.lit(cfg.rate_limit_share)))
 
 
-def quota(account: DataFrame) -> DataFrame:
-    """searches_left, hourly_limit of account rows (total_searches_left, plan_searches_left, account_rate_limit_per_hour)."""
+def quota(account: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """keep, searches_left, hourly_limit of account rows (total_searches_left, plan_searches_left, account_rate_limit_per_hour)."""
     left = F.greatest(F.lit(0), F.coalesce("total_searches_left", "plan_searches_left", F.lit(0)))
-    return account.select(left.alias("searches_left"), F.col("account_rate_limit_per_hour").alias("hourly_limit"))
+    return account.select(*keep, left.alias("searches_left"), F.col("account_rate_limit_per_hour").alias("hourly_limit"))
 
 
 def redacted(text: Column, secrets: list[str] = ()) -> Column:
     """Known secrets, values of api_key and strings like keys as [REDACTED]; the longest secrets first, and none of under eight characters."""
-    for secret in sorted((s for s in secrets if len(s) >= 8), key=len, reverse=True):
-        text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
-    text = F.regexp_replace(text, r"""(?i)(api_key["']?\s*[=:]\s*["']?)[^&\s"',}]+""", "$1[REDACTED]")
-    return F.regexp_replace(text, r"(?<![0-9a-fA-F])[0-9a-fA-F]{64}(?![0-9a-fA-F])", "[REDACTED]")
+    for secret in worth_hiding(secrets):
+        text = F.replace(text, F.lit(secret), F.lit(HIDDEN))
+    return F.regexp_replace(F.regexp_replace(text, KEY_VALUE, f"$1{HIDDEN}"), KEY_LIKE, HIDDEN)
 
 
-def preflight(uncached_references: DataFrame, account: DataFrame, max_searches: int = SEARCH.max_searches, cfg: Search = SEARCH) -> DataFrame:
-    """One row: estimate, searches_left, allowed, limit, per_hour. uncached_references: a row for each reference whose first query is not stored; account: one row."""
-    n = uncached_references.agg(F.count("*").alias("n"))
+def preflight(uncached_queries: DataFrame, account: DataFrame, max_searches: int = SEARCH.max_searches, cfg: Search = SEARCH) -> DataFrame:
+    """One row: estimate, worst_case, searches_left, allowed, limit, per_hour.
+
+    uncached_queries: doc_id, idx, ordinal and cache_key of planned queries that are not stored. The estimate goes by references whose first query is among them, the worst case
+    by distinct queries. account: one row.
+    """
+    _refused(max_searches, "a budget", 0)
+    n = uncached_queries.agg(F.count_if(F.col("ordinal") == 1).alias("n"), F.count_distinct("cache_key").alias("worst_case"))
     row = quota(account).withColumn("one", F.lit(1)).join(n.withColumn("one", F.lit(1)), "one")
     estimate = estimated_searches(F.col("n"), max_searches, cfg)
-    return row.select(estimate.alias("estimate"), "searches_left", (F.col("searches_left") >= estimate).alias("allowed"), F.least(F.lit(max_searches), F.col("searches_left")).alias("limit"), pacing_rate(F.col("hourly_limit"), cfg).alias("per_hour"))
+    return row.select(
+        estimate.alias("estimate"), F.least(F.lit(max_searches).cast("long"), F.col("worst_case")).alias("worst_case"), "searches_left", (F.col("searches_left") >= estimate).alias("allowed"),
+        F.least(F.lit(max_searches), F.col("searches_left")).alias("limit"), pacing_rate(F.col("hourly_limit"), cfg).alias("per_hour"),
+    )
+
+
+def exported(responses: DataFrame, keys: DataFrame) -> DataFrame:
+    """The newest stored response of each of the chosen keys (key); keys that are not stored are left out."""
+    return latest(responses.join(keys.select("key").distinct(), "key", "left_semi"))
+
+
+def admitted(jobs: DataFrame, most: int = 2) -> DataFrame:
+    """Adds `admitted` to jobs (job_id, started, ended; null while running): whether fewer than `most` admitted jobs ran when it started. A refused job is not queued.
+
+    Whether a job is let in depends on all before it, so the jobs of one service are gone through in order, in one task that holds the ends of `most` of them.
+    """
+    _refused(most, "the number of jobs", 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends: list[pd.Timestamp] = []
+        for rows in batches:
+            taken = []
+            for started, ended in zip(rows["started"], rows["ended"], strict=True):
+                ends = [e for e in ends if pd.isna(e) or e > started]
+                taken.append(len(ends) < most)
+                if taken[-1]:
+                    ends.append(ended)
+            yield rows.assign(admitted=taken)
+
+    kind = StructType([*jobs.schema.fields]).add("admitted", "boolean")
+    return jobs.coalesce(1).sortWithinPartitions("started", "job_id").mapInPandas(run, kind)

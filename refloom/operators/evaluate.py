@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.config import VERDICTS
-from refloom.functions import text, udfs
+from refloom.functions import compare, udfs
 from refloom.operators.numbering import numbered
 
 FLAGGED, UNCHECKED = ("NOT_FOUND", "METADATA_MISMATCH"), ("UNPARSEABLE", "SKIPPED_BUDGET")
@@ -110,12 +110,13 @@ def validated(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """
     found = registry.select(F.col("id").alias("r_id"), F.col("title").alias("r_title"), F.col("first_author").alias("r_author"), F.col("year").alias("r_year"))
     real = rows.where("kind = 'real'").join(found, F.col("id") == F.col("r_id"), "left")
-    near = (udfs.title_status(F.col("title"), F.col("r_title")) == "match") | (udfs.title_similarity(F.col("title"), F.col("r_title")) >= 0.9)
-    author = text.surname_key(F.get(F.get("authors", F.lit(0)), F.lit(0))) == text.surname_key(F.col("r_author"))
+    near = (compare.title_status(F.col("title"), F.col("r_title")) == "match") | (compare.title_similarity(F.col("title"), F.col("r_title")) >= 0.9)
+    names = udfs.exact_surname_keys(F.array(F.coalesce(F.get(F.get("authors", F.lit(0)), F.lit(0)), F.lit("")), F.coalesce("r_author", F.lit(""))))
+    author = F.get(names, F.lit(0)) == F.get(names, F.lit(1))
     year = F.abs(F.col("r_year") - F.col("year")) <= YEAR_TOLERANCE
     bad = F.array_compact(F.array(F.when(F.col("r_id").isNull(), "lookup failed"), F.when(F.col("r_id").isNotNull() & ~F.coalesce(near, F.lit(False)), "title differs"), F.when(F.col("r_id").isNotNull() & ~F.coalesce(author, F.lit(False)), "first author differs"), F.when(F.col("r_id").isNotNull() & ~F.coalesce(year, F.lit(False)), "year differs")))
     checked = real.select("id", bad.alias("problems"))
-    close = rows.where("perturbation = 'invented'").join(found, F.col("id") == F.col("r_id"), "left").groupBy("id").agg(F.coalesce(F.max(udfs.title_similarity(F.col("title"), F.col("r_title"))), F.lit(0.0)).alias("s"))
+    close = rows.where("perturbation = 'invented'").join(found, F.col("id") == F.col("r_id"), "left").select("id", compare.title_similarity(F.col("title"), F.col("r_title")).alias("s")).groupBy("id").agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("s"))
     invented = close.select("id", F.when(F.col("s") >= INVENTED_MAX_SIMILARITY, F.array(F.lit("a similar title exists"))).otherwise(F.array().cast("array<string>")).alias("problems"))
     parents = checked.select(F.col("id").alias("p_id"), (F.size("problems") == 0).alias("p_ok"))
     derived = rows.where("source IS NOT NULL").join(parents, F.col("source") == F.col("p_id"), "left")
@@ -123,6 +124,23 @@ def validated(rows: DataFrame, registry: DataFrame) -> DataFrame:
     return checked.unionByName(invented).unionByName(derived).withColumn("ok", F.size("problems") == 0)
 
 
+def kept_rows(rows: DataFrame, validation: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows that validated, the others with their problems); a row that was not validated is one of the others."""
+    said = validation.select(F.col("id").alias("v_id"), "ok", "problems")
+    joined = rows.join(said, F.col("id") == F.col("v_id"), "left").drop("v_id")
+    ok = F.coalesce("ok", F.lit(False))
+    problems = F.coalesce("problems", F.array(F.lit("not validated")))
+    return joined.where(ok).drop("ok", "problems"), joined.where(~ok).withColumn("problems", problems).drop("ok")
+
+
+def outcomes(results: DataFrame, labelled: DataFrame, by_key: bool = True) -> DataFrame:
+    """Results of a check with the labelled row that each is of: id, kind, indian, perturbation, source, expected, verdict. A BibTeX entry has its row's id as its key; a list in plain text
+    has its rows in the order of `place`, from 1."""
+    label = labelled.select("id", "kind", "indian", "perturbation", "source", "expected", *([] if by_key else [F.col("place").alias("l_place")]))
+    same = F.col("key") == F.col("id") if by_key else F.col("idx") == F.col("l_place")
+    return results.select("key", "idx", "verdict").join(label, same).select("id", "kind", "indian", "perturbation", "source", "expected", "verdict")
+
+
 def systematic_split(families: DataFrame, strata: list[str], order: list[str], share: float = 0.4, offset: float = 0.0) -> DataFrame:
     """Adds `part`: strata laid end to end, and every family where the running count of slots steps up is for tuning.
 

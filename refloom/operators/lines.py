@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refloom.functions.citations import bound
+
 # Headings, ends, list markers and how a reference may start.
 HEADING = (
     r"(?i)^\s*(?:(?:\d{1,2}|[IVXLC]{1,6})\.?\s+)?(?:references|bibliography|works\s+cited|literature\s+cited|reference\s+list"
@@ -83,15 +85,30 @@ def numbering(lines: DataFrame) -> DataFrame:
 
 
 def joined(parts: Column) -> Column:
-    """One line from wrapped lines; a hyphen at a line end goes if it splits a plain word, and stays, without a space, otherwise."""
+    """One line from wrapped lines; a hyphen at a line end goes if it splits a plain word, and stays, without a space, otherwise.
 
-    def step(acc: Column, line: Column) -> Column:
-        word = F.regexp_extract(acc, r"(?U)([\w-]+)-$", 1)
-        plain = line.rlike(r"^\p{Ll}") & word.rlike(r"^\p{L}+$")
-        on = F.when(word == "", F.concat_ws(" ", acc, line)).otherwise(F.concat(F.when(plain, F.substring(acc, F.lit(1), F.length(acc) - 1)).otherwise(acc), line))
-        return F.when(acc == "", line).otherwise(on)
+    How a line is put to the one before is decided by its beginning and the last word so far; the lines are joined once.
+    """
+    lines = F.filter(F.transform(parts, lambda t: F.trim(t)), lambda p: p != "")
+    start = F.struct(F.lit("").alias("word"), F.array().cast("array<string>").alias("seams"))
 
-    return F.aggregate(F.filter(F.transform(parts, lambda t: F.trim(t)), lambda p: p != ""), F.lit(""), step)
+    def step(acc: Column, line: Column) -> Column:
+        split = acc["word"].rlike(r"(?U)[\w-]-$")
+        plain = acc["word"].rlike(r"^\p{L}+-$") & line.rlike(r"^\p{Ll}")
+        seam = F.when(F.size(acc["seams"]) == 0, "").when(~split, " ").when(plain, "-").otherwise("")
+        last = F.regexp_extract(line, r"(?U)([\w-]*)$", 1)
+        goes_on = split & (F.length(last) == F.length(line)) & (F.size(acc["seams"]) > 0)
+        before = F.when(plain, F.substr(acc["word"], F.lit(1), F.length(acc["word"]) - 1)).otherwise(acc["word"])
+        return F.struct(F.when(goes_on, F.concat(before, last)).otherwise(last).alias("word"), F.concat(acc["seams"], F.array(seam)).alias("seams"))
+
+    def put_together(x: Column) -> Column:
+        shown = F.transform(x["lines"], lambda line, i: F.concat(
+            F.when(F.get(x["seams"], i) == " ", " ").otherwise(""), F.when(F.get(x["seams"], i + 1) == "-", F.substr(line, F.lit(1), F.length(line) - 1)).otherwise(line),
+        ))
+        return F.array_join(shown, "")
+
+    seams = bound(lines, lambda of: F.struct(of.alias("lines"), F.aggregate(of, start, step, lambda a: a["seams"]).alias("seams")))
+    return bound(seams, put_together)
 
 
 def split_references(lines: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.config import SEARCH, Search
+from refloom.errors import CheckFailed
 from refloom.functions.jsontext import sanitized
 
 ANSWERS = "key string, engine string, query string, created timestamp, body string, attempts int, credits int, waited double, error string"
@@ -24,7 +25,7 @@ NO_RESULTS = "hasn't returned any results"
 Transport = Callable[[dict], dict]
 
 
-class TransportError(Exception):
+class TransportError(CheckFailed):
     """A failed request: whether another try can help, and whether it may have been billed (it timed out)."""
 
     def __init__(self, message: str, retryable: bool, maybe_charged: bool = False):

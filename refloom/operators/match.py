@@ -1,6 +1,6 @@
 """Field comparisons, the best candidate of each reference, and the verdict.
 
-Comparisons that need fuzzy strings come from one Arrow UDF; statuses, scores, ranks and rules are Catalyst expressions over its numbers.
+Edit similarities come from `refloom.functions.compare`; statuses, scores, ranks and rules are Catalyst expressions over its numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refloom.config import MATCH, VERDICT, VERDICTS, WEB, Match, Verdict
-from refloom.functions import udfs
+from refloom.functions import compare
 
 JUDGED = ("authors", "year", "venue")
 AGREEING = ("match", "partial")
@@ -57,7 +57,7 @@ def compared(pairs: DataFrame, cfg: Match = MATCH) -> DataFrame:
     """pairs: `fields` and `candidate`, other columns stay. Adds `m`, the comparison of the two."""
     f, c = F.col("fields"), F.col("candidate")
     surnames = F.transform(f["authors"], lambda a: a["surname"])
-    rows = pairs.withColumn("p", udfs.score_pair(cfg)(f["title"], c["title"], surnames, c["authors"], c["authors_truncated"], f["venue"], c["venue"]))
+    rows = compare.with_pair_scores(pairs, "p", f["title"], c["title"], surnames, c["authors"], c["authors_truncated"], f["venue"], c["venue"], cfg)
     book = F.coalesce(f["entry_type"].isin(*cfg.edition_types), F.lit(False))
     year = year_status(f["year"], c["year"], book, cfg)
     authors, venue = share_status(F.col("p.author_share"), cfg), venue_status(F.col("p.venue_score"), F.col("p.venue_words"), book, cfg)
@@ -150,6 +150,7 @@ def verified_reason(m: Column, candidate: Column) -> Column:
     return F.when(candidate["engine"] == WEB, web).otherwise(scholar)
 
 
+# What a result says where nothing was compared.
 NO_TITLE = "No title could be extracted from this reference, so it was not searched."
 BROKEN_ENTRY = "The BibTeX entry could not be parsed, so it was not searched."
 OUT_OF_BUDGET = "Not fully checked: the search budget for this run ran out first."

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from refloom.config import INGEST, Ingest
+
 # Points that a baseline may stray, and the shares that make a page two-column.
 BASELINE_PT, GUTTER, RIGHT_SHARE, SPANNING_SHARE = 2.0, 0.04, 0.25, 0.10
 
@@ -45,3 +47,14 @@ def scanned(lines: DataFrame, pages: DataFrame, min_chars: int = 20) -> DataFram
     """doc_id, chars, n_pages, is_scan: documents whose pages hold too little text to be text."""
     chars = lines.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
     return pages.join(chars, "doc_id", "left").select("doc_id", F.coalesce("chars", F.lit(0)).alias("chars"), "n_pages", (F.coalesce("chars", F.lit(0)) < min_chars * F.col("n_pages")).alias("is_scan"))
+
+
+def guarded(pdfs: DataFrame, lines: DataFrame, cfg: Ingest = INGEST) -> DataFrame:
+    """doc_id, error of PDFs (doc_id, n_pages, encrypted, damaged) with their page lines: the first reason not to read one, or null."""
+    found = scanned(lines, pdfs.select("doc_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages")), cfg.min_text_chars_per_page)
+    yes = lambda name: F.coalesce(name, F.lit(False))
+    said = (
+        F.when(yes("encrypted"), "The PDF is encrypted.").when(yes("damaged"), "The PDF is damaged.").when(F.col("n_pages") > cfg.max_pdf_pages, F.concat(F.lit("The PDF has "), F.col("n_pages").cast("string"), F.lit(f" pages; the limit is {cfg.max_pdf_pages}.")))
+        .when(F.col("is_scan"), "The PDF holds hardly any text; it may be a scan.")
+    )
+    return pdfs.select("doc_id", "encrypted", "damaged").join(found, "doc_id").select("doc_id", said.alias("error"))

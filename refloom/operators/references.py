@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.functions import text
+from refloom.functions.udfs import exact_fold as fold
+from refloom.functions.udfs import exact_surname_keys
 
-def dedupe_key(fields: Column, raw: Column, fold=text.fold) -> Column:
+
+def dedupe_key(fields: Column, raw: Column) -> Column:
     """References with one key are one citation: all their fields agree after folding. Without a title the raw text decides."""
-    names = F.array_join(F.transform(fields["authors"], lambda a: F.substring_index(fold(a["surname"]), " ", -1)), ",")
+    names = F.array_join(exact_surname_keys(F.transform(fields["authors"], lambda a: a["surname"])), ",")
     parts = [fold(fields["title"]), names, F.coalesce(fields["year"].cast("string"), F.lit("")), fold(F.coalesce(fields["venue"], F.lit(""))), F.coalesce(fields["doi"], F.lit("")), F.coalesce(fields["entry_type"], F.lit(""))]
     whole = F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
     return F.when(F.coalesce(fields["title"], F.lit("")) == "", F.concat(F.lit("raw:"), fold(F.coalesce(raw, F.lit(""))))).otherwise(whole)

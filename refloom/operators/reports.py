@@ -10,13 +10,13 @@ from refloom.operators.search import safe_url
 
 LABELS = {"VERIFIED": "Verified", "METADATA_MISMATCH": "Metadata mismatch", "NOT_FOUND": "Not found", "UNPARSEABLE": "Unparseable", "SKIPPED_BUDGET": "Skipped"}
 SEVERITY = ("NOT_FOUND", "METADATA_MISMATCH", "UNPARSEABLE", "SKIPPED_BUDGET", "VERIFIED")
-SCORE_FORMULA = "Integrity score = 100 x (verified + 0.5 x mismatched) / (verified + mismatched + not found). Unparseable and skipped references are excluded."
+SCORE_FORMULA = "The score is the share of looked-up references that hold, in percent; one with wrong details counts half."
 #: verdict: rule, name, level, what it says
 RULES = {
-    "NOT_FOUND": ("RL001", "CitationNotFound", "error", "Cited work could not be found"),
-    "METADATA_MISMATCH": ("RL002", "CitationMetadataMismatch", "warning", "Cited work exists, but its metadata is wrong"),
-    "UNPARSEABLE": ("RL003", "CitationUnparseable", "warning", "Citation could not be parsed"),
-    "SKIPPED_BUDGET": ("RL004", "CitationNotChecked", "note", "Citation was not checked"),
+    "NOT_FOUND": ("RL001", "UnknownWork", "error", "No record of this work turned up"),
+    "METADATA_MISMATCH": ("RL002", "WrongDetails", "warning", "The work is on record with other details"),
+    "UNPARSEABLE": ("RL003", "UnreadableReference", "warning", "No title could be read from this reference"),
+    "SKIPPED_BUDGET": ("RL004", "UncheckedReference", "note", "Nothing was looked up for this reference"),
 }
 TOOL, VERSION = "refloom", "0.1.0"
 
@@ -90,9 +90,9 @@ def sarif_results(results: DataFrame, uri: Column | None = None) -> DataFrame:
     return rows.withColumn("sarif", F.to_json(made))
 
 
-def sarif(results: DataFrame, summary: DataFrame, by: str = "doc_id") -> DataFrame:
+def sarif(results: DataFrame, summary: DataFrame, by: str = "doc_id", uri: Column | None = None) -> DataFrame:
     """by, sarif: a SARIF 2.1.0 log for each document."""
-    found = sarif_results(results).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sarif"))), lambda x: x["sarif"]), ",").alias("found"))
+    found = sarif_results(results, uri).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sarif"))), lambda x: x["sarif"]), ",").alias("found"))
     rules = F.to_json(F.array(*(F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("name"), F.struct(F.lit(r[3]).alias("text")).alias("shortDescription"), F.struct(F.lit(r[2]).alias("level")).alias("defaultConfiguration")) for r in RULES.values())))
     head = f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{TOOL}","version":"{VERSION}","rules":'
     log = F.concat(F.lit(head), rules, F.lit('}},"results":['), F.coalesce("found", F.lit("")), F.lit('],"properties":{"integrityScore":'), F.coalesce(F.col("integrity_score").cast("string"), F.lit("null")), F.lit("}}]}"))
@@ -106,8 +106,8 @@ def json_report(results: DataFrame, summary: DataFrame, by: str = "doc_id") -> D
     return summary.join(rows, by, "left").select(by, F.to_json(whole).alias("report"))
 
 
-def html(results: DataFrame, by: str = "doc_id") -> DataFrame:
-    """by, html: a table for each document, the worst first; only http and https addresses become links."""
+def html(results: DataFrame, summary: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, html: for each document its score, its counts and a table, the worst first; only http and https addresses become links."""
     text = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), '"', "&quot;")
     link, title = safe_url(F.col("best.candidate.link")), text(F.col("best.candidate.title"))
     found = F.when(link.isNotNull(), F.concat(F.lit('<a href="'), text(link), F.lit('">'), title, F.lit("</a>"))).otherwise(title)
@@ -115,27 +115,38 @@ def html(results: DataFrame, by: str = "doc_id") -> DataFrame:
     row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
     rows = results.withColumn("severity", severity(F.col("verdict"))).withColumn("row", row)
     body = rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("severity", "idx", "row"))), lambda x: x["row"]), "\n").alias("body"))
-    return body.select(by, F.concat(F.lit("<!DOCTYPE html><html><body><table>\n"), "body", F.lit("\n</table></body></html>\n")).alias("html"))
+    counts = F.concat(*(F.concat(F.lit(f'<li class="{v.lower()}">{LABELS[v]}: '), F.col(v.lower()).cast("string"), F.lit("</li>")) for v in VERDICTS))
+    name = text(F.col(by).cast("string"))
+    head = F.concat(
+        F.lit('<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>Citation report: '), name, F.lit("</title><style>body{font-family:sans-serif}td,th{padding:.2em .6em;text-align:left}</style></head><body>\n<h1>"), name,
+        F.lit("</h1>\n<p><strong>Integrity score: "), score_text(F.col("integrity_score")), F.lit("</strong>. "), F.col("checked").cast("string"), F.lit(" of "), F.col("total").cast("string"),
+        F.lit(f" references checked. {SCORE_FORMULA}</p>\n<ul>"), counts, F.lit("</ul>\n<table>\n<tr><th>#</th><th>Verdict</th><th>Cited title</th><th>Reason</th><th>Best match</th></tr>\n"),
+    )
+    return summary.join(body, by, "left").select(by, F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n</table></body></html>\n")).alias("html"))
 
 
 def evaluation_markdown(outcomes: DataFrame, title: str = "Evaluation") -> str:
-    """Headline, types, classes and the confusion matrix as Markdown. Only aggregates reach the driver; `evaluate.failures` lists the rows."""
+    """Headline, types, classes and the confusion matrix as Markdown. Only aggregates reach the driver; `evaluate.failures` lists the rows. All intervals come from one frame."""
     from refloom.operators import evaluate
 
+    heads = {r.subset: r for r in evaluate.headline_sets(outcomes).collect()}
+    types = {r.perturbation: r for r in evaluate.per_perturbation(outcomes).collect()}
+    scores = {r["class"]: r for r in evaluate.class_scores(outcomes, []).collect()}
+    table = {r.expected: r for r in evaluate.confusion(outcomes).collect()}
+    shares = [(h.false_alarms, h.n_real) for h in heads.values()] + [(h.detected, h.n_fabricated) for h in heads.values()] + [(t.detected, t.n_rows) for t in types.values()]
+    shares += [(s.tp, s.tp + s.fp) for s in scores.values()] + [(s.tp, s.tp + s.fn) for s in scores.values()]
+    frame = outcomes.sparkSession.createDataFrame(sorted(set(shares)), "k long, n long")
+    bounds = {(r.k, r.n): r for r in evaluate.wilson(frame, "k", "n").collect()}
+
     def share(k: int, n: int, least: int = 0) -> str:
-        row = evaluate.wilson(outcomes.sparkSession.createDataFrame([(k, n)], "k long, n long"), "k", "n").first()
-        return "n/a" if not n else f"{k}/{n}" if n < least else f"{k}/{n} = {100 * k / n:.1f}% [{100 * row.low:.1f}, {100 * row.high:.1f}]"
+        return "n/a" if not n else f"{k}/{n}" if n < least else f"{k}/{n} = {100 * k / n:.1f}% [{100 * bounds[k, n].low:.1f}, {100 * bounds[k, n].high:.1f}]"
 
     lines = [f"### {title}", "", "| Subset | False alarms | Detection | Unchecked |", "| --- | --- | --- | ---: |"]
-    heads = {r.subset: r for r in evaluate.headline_sets(outcomes).collect()}
     lines += [f"| {n} | {share(h.false_alarms, h.n_real)} | {share(h.detected, h.n_fabricated)} | {h.unchecked_real + h.unchecked_fabricated} |" for n in ("all", "indian") if (h := heads.get(n))]
     lines += ["", "| Perturbation | Detected |", "| --- | --- |"]
-    types = {r.perturbation: r for r in evaluate.per_perturbation(outcomes).collect()}
     lines += [f"| {p.replace('_', ' ')} | {share(types[p].detected, types[p].n_rows, 5)} |" for p in evaluate.PERTURBATIONS]
     lines += ["", "| Class | Precision | Recall | F1 |", "| --- | --- | --- | ---: |"]
-    scores = {r["class"]: r for r in evaluate.class_scores(outcomes, []).collect()}
     lines += [f"| {c} | {share(s.tp, s.tp + s.fp)} | {share(s.tp, s.tp + s.fn)} | {'n/a' if s.f1 is None else f'{100 * s.f1:.1f}%'} |" for c in evaluate.FLAGGED if (s := scores.get(c))]
     lines += ["", "| Expected | " + " | ".join(VERDICTS) + " |", "| --- |" + " ---: |" * len(VERDICTS)]
-    table = {r.expected: r for r in evaluate.confusion(outcomes).collect()}
     lines += [f"| {e} | " + " | ".join(str(table[e][v.lower()]) for v in VERDICTS) + " |" for e in evaluate.EXPECTED]
     return "\n".join(lines) + "\n"

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refloom.config import PARSE, SCHOLAR, SEARCH, WEB, Search
-from refloom.functions import udfs
-from refloom.functions.summaries import TITLE_TAG
+from refloom.functions.summaries import TITLE_TAG, parse_summary
 from refloom.operators.control import cache_key
 from refloom.schema import CANDIDATE, RESPONSE
 
@@ -89,7 +88,7 @@ def scholar_results(rows: DataFrame) -> DataFrame:
     keep = [c for c in rows.columns if c != "response"]
     found = rows.select(*keep, F.posexplode("response.organic_results").alias("position", "r")).where("r.title IS NOT NULL AND r.title <> ''")
     names = F.transform(F.col("r.publication_info.authors"), lambda a: a["name"])
-    found = found.withColumn("s", udfs.parse_summary(F.col("r.publication_info.summary"), names))
+    found = found.withColumn("s", parse_summary(F.col("r.publication_info.summary"), names))
     made = F.struct(
         F.lit(SCHOLAR).alias("engine"), F.regexp_replace("r.title", "(?i)" + TITLE_TAG, "").alias("title"), F.col("r.link").alias("link"), F.col("r.result_id").alias("result_id"),
         F.col("s.authors").alias("authors"), F.col("s.authors_truncated").alias("authors_truncated"), F.col("s.year").alias("year"), F.col("s.venue").alias("venue"),

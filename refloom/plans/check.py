@@ -12,6 +12,12 @@ from refloom.sources.shared import stored
 KEYS = ["doc_id", "idx"]
 
 
+def _keyed(refs: DataFrame) -> DataFrame:
+    """The references with their originals. They are written first, as what reads them takes their fields apart many times over."""
+    refs = stored(refs, "parsed")
+    return stored(references.with_original(refs.withColumn("dedupe_key", references.dedupe_key(F.col("fields"), F.col("raw"))), ["doc_id"]), "references")
+
+
 def check_references(refs: DataFrame, responses: DataFrame, mode: str = "offline", parse: Parse = PARSE, searching: Search = SEARCH, matching: Match = MATCH, verdicts: Verdict = VERDICT, refused: DataFrame | None = None) -> DataFrame:
     """refs: rows of `refloom.schema.REFERENCE`; responses: rows of the response store. A row for each reference with verdict, confidence, reason,
     mismatched, best, queries, searches_used and duplicate_of.
@@ -23,8 +29,7 @@ def check_references(refs: DataFrame, responses: DataFrame, mode: str = "offline
 
     References and compared candidates are written to the shared folder: both are read several times, and the string kernels run once.
     """
-    keyed = references.with_original(refs.withColumn("dedupe_key", references.dedupe_key(F.col("fields"), F.col("raw"))), ["doc_id"])
-    keyed = stored(keyed, "references")
+    keyed = _keyed(refs)
     firsts = references.originals(keyed).drop("dedupe_key", "original")
     plan = search.planned(firsts.withColumn("title", F.col("fields.title")).withColumn("entry_type", F.col("fields.entry_type")).withColumn("surname", F.get("fields.authors", F.lit(0))["surname"]), searching)
     if refused is not None:
@@ -62,7 +67,7 @@ def check_live(refs: DataFrame, responses: DataFrame, transport: live.Transport,
     The budget goes to queries in the order of (doc_id, idx): at most `max_searches` are taken, which is the most rows that the one sorted limit gathers.
     """
     left = searching.max_searches if max_searches is None else max_searches
-    keyed = references.with_original(refs.withColumn("dedupe_key", references.dedupe_key(F.col("fields"), F.col("raw"))), ["doc_id"])
+    keyed = _keyed(refs)
     firsts = references.originals(keyed).drop("dedupe_key", "original")
     plan = search.planned(firsts.withColumn("title", F.col("fields.title")).withColumn("entry_type", F.col("fields.entry_type")).withColumn("surname", F.get("fields.authors", F.lit(0))["surname"]), searching)
     plan = stored(plan.select(*KEYS, "fields", "ordinal", "engine", "query", "params", "cache_key"), "plan")
@@ -77,7 +82,7 @@ def check_live(refs: DataFrame, responses: DataFrame, transport: live.Transport,
         turned = stored(now.join(lacking.select(F.col("key").alias("cache_key")), "cache_key", "left_semi").join(granted.select(F.col("key").alias("cache_key")), "cache_key", "left_anti").select(*KEYS, "ordinal"), "refused")
         turned = turned.withColumnRenamed("ordinal", "refused_at")
         store = stored(store.unionByName(new.where("body IS NOT NULL").select("key", "engine", "query", "created", "body")), "store")
-        found = match.compared(search.candidates(control.looked_up(plan.where(F.col("ordinal") <= ordinal).join(todo, KEYS, "left_semi"), store).select(*KEYS, "fields", "ordinal", "engine", "body"), parse.as_of_year), matching)
+        found = stored(match.compared(search.candidates(control.looked_up(plan.where(F.col("ordinal") <= ordinal).join(todo, KEYS, "left_semi"), store).select(*KEYS, "fields", "ordinal", "engine", "body"), parse.as_of_year), matching).drop("fields"), "compared")
         sure = match.confident_ordinal(found, KEYS).select(*KEYS)
         todo = stored(todo.join(turned, KEYS, "left_anti").join(sure, KEYS, "left_anti"), "unresolved")
         asked, refused = (new, turned) if asked is None else (asked.unionByName(new), refused.unionByName(turned))

@@ -6,14 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
 
+from refloom.errors import InputError
+
 PREFIX = "REFLOOM_"
 TRUE, FALSE = frozenset({"1", "true", "yes", "on"}), frozenset({"", "0", "false", "no", "off"})
 
 
-class InputError(ValueError):
-    """The user has to change something."""
-
-
 @dataclass(frozen=True)
 class Settings:
     api_key: str | None = None

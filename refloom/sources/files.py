@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.config import INGEST, PARSE, Ingest, Parse
-from refloom.functions import udfs
+from refloom.errors import InputError
+from refloom.functions import citations, udfs
 from refloom.functions.bibtex import parse_bibtex
 from refloom.operators import lines as L
+from refloom.operators import pages
 from refloom.operators.control import cache_key, latest
 from refloom.schema import EVAL_ROW, FIELDS, RESPONSE, RESPONSES
 
 BIBTEX_ENTRY = r"(?m)^\s*@\s*[A-Za-z]+\s*[{(]"
+NO_FRAGMENTS = "A PDF is read from a table of its page fragments, and none was given for this one."
 BIBTEX_ROWS = f"doc_id long, idx int, raw string, key string, line int, fields {FIELDS}, warnings array<string>"
 
 
@@ -32,7 +35,7 @@ def detected(files: DataFrame, cfg: Ingest = INGEST) -> DataFrame:
     has_nul = F.contains(F.decode("content", "ISO-8859-1"), F.lit("\0"))
     rows = rows.withColumn("text", F.when(~F.col("is_pdf") & ~has_nul, F.coalesce(utf8, udfs.decode_text(F.when(utf8.isNull(), F.col("content"))))))
     error = (
-        F.when(F.length("content") > cfg.max_input_bytes, "The file is larger than the limit.").when(F.trim(F.decode("content", "ISO-8859-1")) == "", "The input is empty.")
+        F.when(F.length("content") > cfg.max_input_bytes, "The file is larger than the limit.").when(F.decode("content", "ISO-8859-1").rlike(r"^\s*$"), "The input is empty.")
         .when(F.col("is_pdf"), F.lit(None)).when(name.endswith(".pdf"), "This file has a .pdf name but is not a PDF document.")
         .when(F.hex(F.substring("content", 1, 4)) == "504B0304", "Zipped formats are not supported.").when(F.col("text").isNull(), "The file is not text.")
     )
@@ -66,14 +69,56 @@ def bibtex_references(docs: DataFrame) -> DataFrame:
 def text_references(docs: DataFrame, cfg: Parse = PARSE) -> DataFrame:
     """doc_id, text to a row for each reference of a pasted list or a document with a references section."""
     cleaned = docs.select("doc_id", udfs.clean_text(F.coalesce("text", F.lit(""))).alias("text"))
-    split = L.split_references(L.section_lines(L.text_lines(cleaned)))
-    return split.select("doc_id", "idx", "raw", F.lit(None).cast("string").alias("key"), "line", udfs.parse_fields(cfg)(F.col("raw")).alias("fields"), F.lit("text").alias("source_format"))
+    return parsed_references(L.text_lines(cleaned), cfg)
 
 
-def references(docs: DataFrame, cfg: Parse = PARSE) -> DataFrame:
-    """doc_id, text, format to references of all formats."""
+def parsed_references(lines: DataFrame, cfg: Parse = PARSE) -> DataFrame:
+    """doc_id, line, text to a row for each reference in the references section."""
+    split = L.split_references(L.section_lines(lines))
+    return split.select("doc_id", "idx", "raw", F.lit(None).cast("string").alias("key"), "line", citations.parse_fields(F.col("raw"), cfg).alias("fields"), F.lit("text").alias("source_format"))
+
+
+def pasted(spark: SparkSession, text: str) -> DataFrame:
+    """doc_id, name, text, format, error of one pasted text."""
+    rows = spark.createDataFrame([("", bytearray(text.encode()))], "path string, content binary")
+    return detected(rows).select(F.lit(0).cast("long").alias("doc_id"), "name", "text", "format", "error")
+
+
+def page_fragments(spark: SparkSession, path: str) -> DataFrame:
+    """The fragments of PDF pages that a reader of PDFs has made, a Parquet table: path (as the file is read by), page, x, y, width, text, page_width."""
+    return spark.read.parquet(path).withColumn("doc_id", F.xxhash64("path")).drop("path")
+
+
+def pdf_lines(fragments: DataFrame) -> DataFrame:
+    """doc_id, line, text: the lines of all pages in reading order, without running headers and footers."""
+    kept = L.running_lines_removed(pages.page_lines(fragments))
+    order = Window.partitionBy("doc_id").orderBy("page", "line")
+    return kept.select("doc_id", F.row_number().over(order).alias("line"), F.trim(udfs.clean_text(F.col("text"))).alias("text"))
+
+
+def references(docs: DataFrame, cfg: Parse = PARSE, fragments: DataFrame | None = None) -> DataFrame:
+    """doc_id, text, format to references of all formats; those of PDFs come from their fragments."""
     bib = bibtex_references(docs.where("format = 'bibtex'")).drop("warnings")
-    return text_references(docs.where("format = 'text'"), cfg).unionByName(bib)
+    out = text_references(docs.where("format = 'text'"), cfg).unionByName(bib)
+    if fragments is None:
+        return out
+    wanted = docs.where("format = 'pdf'").select("doc_id")
+    return out.unionByName(parsed_references(pdf_lines(fragments.join(wanted, "doc_id", "left_semi")), cfg))
+
+
+def unreadable(docs: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+    """doc_id, name, error: files that can't be read, PDFs without fragments among them."""
+    known = docs.select("doc_id").where("false") if fragments is None else fragments.select("doc_id").distinct()
+    rows = docs.join(known.withColumn("read", F.lit(True)), "doc_id", "left")
+    lacking = F.when((F.col("format") == "pdf") & F.col("read").isNull(), NO_FRAGMENTS)
+    return rows.select("doc_id", "name", F.coalesce("error", lacking).alias("error")).where("error IS NOT NULL")
+
+
+def frozen(spark: SparkSession, path: str, sha256: str) -> None:
+    """Raises an error if the file is not, byte for byte, the one that was frozen."""
+    found = {r.hash for r in spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("hash")).collect()}  # a row for each file of the dataset
+    if found != {sha256}:
+        raise InputError(f"{path} is not the frozen file: its SHA-256 is {', '.join(sorted(found)) or 'missing'}")
 
 
 def guarded(refs: DataFrame, docs: DataFrame, cfg: Ingest = INGEST) -> DataFrame:
