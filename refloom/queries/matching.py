@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refloom.config import SCHOLAR, VERDICTS, Search
-from refloom.functions import strings, text, udfs
+from refloom.functions import compare, strings, text, udfs
 from refloom.operators import match, references, reports, search
 from refloom.plans import check
 from refloom.queries.base import PAIRS, REFS, VERDICTS_SQL, folded_sql, long, pairs, query, refs, table, verdicts
@@ -49,8 +49,8 @@ def title_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.lit("zzz qqq xxx jjj kkk vvv")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     done = part.select("p_name").distinct().select(
-        "p_name", udfs.title_status(base, variant).alias("same"), udfs.title_status(base, reworded).alias("reworded"), udfs.title_status(base, other).alias("other"),
-        udfs.same_words(base, F.concat(F.lit("optimisation of the "), "p_name", F.lit(" behaviour"))).alias("words_same"), udfs.same_words(base, reworded).alias("words_reworded"),
+        "p_name", compare.title_status(base, variant).alias("same"), compare.title_status(base, reworded).alias("reworded"), compare.title_status(base, other).alias("other"),
+        compare.same_words(base, F.concat(F.lit("optimisation of the "), "p_name", F.lit(" behaviour"))).alias("words_same"), compare.same_words(base, reworded).alias("words_reworded"),
     )
     return part.join(done, "p_name").drop("p_name")
 
@@ -59,7 +59,7 @@ def title_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_overlap_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A passage stands whole in itself with words around it."""
     around = F.concat(F.lit("before it stands "), "text", F.lit(" and after"))
-    return table(spark, sf_dir, "benchmark").select("item_id", udfs.title_overlap(F.col("text"), around).alias("overlap"))
+    return table(spark, sf_dir, "benchmark").select("item_id", compare.title_overlap(F.col("text"), around).alias("overlap"))
 
 
 @query(PAIRS + " SELECT idx, work_id, CASE WHEN year = work_year THEN 'match' WHEN abs(year - work_year) <= 1 OR idx % 3 = 0 THEN 'partial' ELSE 'mismatch' END AS status, CAST(CASE WHEN year = work_year THEN 1.0 WHEN abs(year - work_year) <= 1 OR idx % 3 = 0 THEN 0.8 ELSE 0.0 END AS DOUBLE) AS score FROM pairs")
@@ -78,7 +78,7 @@ def compare_venue_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PAIRS + " SELECT idx, CAST(1.0 AS DOUBLE) AS same, CAST(1.0 AS DOUBLE) AS abbreviated, CAST(0.0 AS DOUBLE) AS generic FROM pairs")
 def venue_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.concat(F.lit("J. "), F.col("lang"), F.lit(" Stud."))
-    return pairs(spark, sf_dir).select("idx", udfs.venue_similarity(F.col("venue"), F.col("venue")).alias("same"), udfs.venue_similarity(short, F.col("venue")).alias("abbreviated"), udfs.venue_similarity(F.lit("Journal"), F.col("venue")).alias("generic"))
+    return pairs(spark, sf_dir).select("idx", compare.venue_similarity(F.col("venue"), F.col("venue")).alias("same"), compare.venue_similarity(short, F.col("venue")).alias("abbreviated"), compare.venue_similarity(F.lit("Journal"), F.col("venue")).alias("generic"))
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:

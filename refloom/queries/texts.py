@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refloom.config import Parse
-from refloom.functions import strings, text, udfs
+from refloom.functions import citations, strings, summaries, text, udfs
 from refloom.operators import lines, search
 from refloom.queries.base import REFS, folded_sql, long, query, refs, table
 from refloom.sources import files
@@ -191,7 +191,7 @@ PARSED = f"""WITH {REFS} SELECT idx, 'A study of ' || lang || ' things named ite
 @query(PARSED)
 def parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A citation in the style of APA gives back the fields it was rendered from."""
-    f = udfs.parse_fields()(F.col("raw"))
+    f = citations.parse_fields(F.col("raw"))
     return _rendered(spark, sf_dir).select("idx", f.alias("f")).select(
         "idx", "f.title", F.array_join(F.transform("f.authors", lambda a: a["surname"]), "; ").alias("surnames"), F.col("f.year").cast("long").alias("year"), "f.venue", "f.doi",
         F.col("f.confidence.title").alias("title_sure"), F.col("f.confidence.authors").alias("authors_sure"), F.col("f.confidence.year").alias("year_sure"),
@@ -203,7 +203,7 @@ def entry_type_and_venue(spark: SparkSession, sf_dir: str) -> DataFrame:
     hint = F.element_at(F.array(F.lit("PhD thesis"), F.lit("Technical report"), F.lit("Some Press")), (F.col("idx") % 3 + 1).cast("int"))
     rest = F.when(F.col("idx") % 2 == 0, F.lit("arXiv:1706.03762")).otherwise(F.concat(F.lit("In: "), "venue", F.lit(", vol. 3, pp. 1-2")))
     raw = F.concat(F.lit('Smith J, "A long enough title," '), rest, F.lit(", 1999. "), hint)
-    f = udfs.parse_fields()(raw)
+    f = citations.parse_fields(raw)
     return refs(spark, sf_dir).select("idx", f.alias("f")).select("idx", "f.entry_type", "f.venue")
 
 
@@ -226,7 +226,7 @@ def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     classic = F.concat(F.lit("A Smith, B Jones"), cut, F.lit(" - "), "venue", F.lit(", "), year, F.lit(" - example.org"))
     glued = F.concat(F.lit("A Smith, B Jones"), cut, "venue", F.lit(", "), year, F.lit("•example.org"))
     names = F.array(F.lit("A Smith"), F.lit("B Jones"))
-    s = udfs.parse_summary(F.when(F.col("idx") % 3 == 0, glued).otherwise(classic), names)
+    s = summaries.parse_summary(F.when(F.col("idx") % 3 == 0, glued).otherwise(classic), names)
     return refs(spark, sf_dir).select("idx", s.alias("s")).select("idx", F.array_join("s.authors", "|").alias("authors"), F.col("s.authors_truncated").alias("cut"), "s.venue", F.col("s.year").cast("long").alias("year"), "s.source")
 
 

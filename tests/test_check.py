@@ -88,7 +88,8 @@ def test_reports(results):
     assert [r["ruleId"] for r in found] == ["RL002", "RL001", "RL003", "RL002", "RL004"] and found[0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 4
     again = json.loads(reports.json_report(results, summary).first().report)
     assert again["summary"]["integrity_score"] == 60.0 and [r["idx"] for r in again["results"]] == list(range(1, 8))
-    page = reports.html(results).first().html
+    page = reports.html(results, summary).first().html
+    assert "Integrity score: 60 / 100" in page and "Metadata mismatch: 2</li>" in page
     assert page.index("never written") < page.index("Growing") < page.index("??") and 'href="https://x.org/1"' in page
 
 
@@ -104,10 +105,104 @@ def test_command_line(spark, store, tmp_path, capsys):
     assert '"version":"2.1.0"' in capsys.readouterr().out
     assert run(["check", str(tmp_path / "in"), "-f", "json", "-o", str(tmp_path / "out")], spark) == 2
     assert run(["cache", "stats", str(tmp_path / "store")], spark) == 0
+    shown = capsys.readouterr()
+    assert "bad.bin: The file is not text." in shown.err
+    (tmp_path / "keys.txt").write_text(key('"Reading the tea leaves of data"') + "\n")
+    assert run(["cache", "export", str(tmp_path / "store"), "--keys", str(tmp_path / "keys.txt"), "-o", str(tmp_path / "some")], spark) == 0
+    assert files.read_responses(spark, str(tmp_path / "some")).count() == 1
+    assert run(["cache", "export", str(tmp_path / "store")], spark) == 2
     assert run(["cache", "clear", str(tmp_path / "store")], spark) == 0
     assert files.read_responses(spark, str(tmp_path / "store")).count() == 0
 
 
+def test_command_line_refuses(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "none.txt").write_text("\n\n")
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 x")
+    (tmp_path / "many.txt").write_text("\n".join(f'[{i}] J. Doe, "Reading the tea leaves again and again {i}," Nature, 2001.' for i in range(1, 1003)))
+    for name, said in (("none.txt", "The input is empty."), ("a.pdf", files.NO_FRAGMENTS), ("many.txt", "Found 1002 references"), ("absent.txt", "")):
+        assert run(["check", str(tmp_path / name)], spark) == 2
+        assert said in capsys.readouterr().err
+    (tmp_path / "few.txt").write_text("???")
+    assert run(["check"], spark) == 2 and run(["check", str(tmp_path / "few.txt"), "--max-searches", "-1"], spark) == 2
+    assert run(["check", str(tmp_path / "few.txt"), "--transport", "no.such:thing"], spark) == 2
+    monkeypatch.setattr(check, "check_references", lambda *a, **b: 1 / 0)
+    assert run(["check", str(tmp_path / "few.txt")], spark) == 3 and "ZeroDivisionError" in capsys.readouterr().err
+
+
+def test_command_line_demo_and_formats(spark, tmp_path, capsys):
+    assert run(["check", "--demo"], spark) == 0
+    out = capsys.readouterr().out
+    assert [line.split("\t")[2] for line in out.splitlines()[1:4]] == ["VERIFIED", "METADATA_MISMATCH", "NOT_FOUND"]
+    assert run(["check", "--demo", "-q"], spark) == 0 and capsys.readouterr().out == ""
+    assert run(["check", "--demo", "-f", "sarif", "--sarif-uri", "refs/list.txt"], spark) == 0
+    log = json.loads(capsys.readouterr().out)
+    assert log["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "refs/list.txt"
+    assert run(["check", "--demo", "-o", str(tmp_path / "out.html")], spark) == 0
+    assert "Integrity score" in spark.read.json(str(tmp_path / "out.html")).first().html
+
+
+def test_command_line_reads_pdf_fragments_and_a_transport(spark, tmp_path, capsys):
+    path = tmp_path / "a.pdf"
+    path.write_bytes(b"%PDF-1.4 x")
+    name = spark.read.format("binaryFile").load(str(path)).first().path
+    lines = ["References", "[1] A. Nobody, “A paper that was never written at all,” Nature, 2019.", "[2] J. Doe, “Reading the tea leaves of data,” Leaf Studies, 2017."]
+    spark.createDataFrame([(name, 1, 10.0, 700.0 - 20 * i, 500.0, t, 600.0) for i, t in enumerate(lines)], "path string, page int, x double, y double, width double, text string, page_width double").write.parquet(str(tmp_path / "fragments"))
+    args = ["check", str(path), "--fragments", str(tmp_path / "fragments"), "--responses", str(tmp_path / "store"), "--transport", "tests.test_live:scripted"]
+    spark.createDataFrame([], "key string, engine string, query string, created timestamp, body string").write.parquet(str(tmp_path / "store"))
+    assert run([*args, "--max-searches", "3"], spark) == 0
+    out = capsys.readouterr().out
+    assert [line.split("\t")[2] for line in out.splitlines()[1:3]] == ["NOT_FOUND", "VERIFIED"]
+    assert files.read_responses(spark, str(tmp_path / "store")).count() == 3
+    assert run([*args, "--offline"], spark) == 0
+
+
+def test_frozen(spark, tmp_path):
+    import hashlib
+
+    from refloom.errors import InputError
+
+    (tmp_path / "rows.jsonl").write_text("{}")
+    files.frozen(spark, str(tmp_path / "rows.jsonl"), hashlib.sha256(b"{}").hexdigest())
+    with pytest.raises(InputError):
+        files.frozen(spark, str(tmp_path / "rows.jsonl"), hashlib.sha256(b"{} ").hexdigest())
+
+
+def test_pasted(spark):
+    r = files.pasted(spark, "Doe, J. (2001). Some things to say. Nature.").first()
+    assert (r.name, r.format, r.error) == ("pasted-text", "text", None)
+
+
+def test_shared_folder(spark, monkeypatch):
+    from refloom.sources import shared
+
+    made = shared.stored(spark.range(3), "x")
+    path = shared.written(spark)[-1]
+    assert made.count() == 3
+    shared.remove(spark, [path])
+    assert path not in shared.written(spark)
+    setting = spark.conf.get(shared.SETTING)
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("Context", (), {"getConf": staticmethod(lambda: {}), "master": "yarn"})
+
+    with pytest.raises(ValueError):
+        shared.shared_folder(Cluster)
+    assert shared.shared_folder(spark) == setting.rstrip("/")
+
+
+def test_long_references_are_joined_in_little_time(spark):
+    import time
+
+    from refloom.operators import lines
+
+    n = 4000
+    rows = spark.createDataFrame([(1, "\n".join(f"line {i} of a refer-" if i % 3 == 0 else f"ence that goes on {i}" for i in range(n)))], "doc_id long, text string")
+    began = time.time()
+    out = lines.split_references(lines.text_lines(rows)).collect()
+    assert time.time() - began < 30 and len(out) == 1 and "a reference that goes on 1 ence" in out[0].raw
+
+
 def test_bundles(spark, store, tmp_path):
     planned = search.planned(spark.createDataFrame([("Reading the tea leaves of data", "Doe", None)], "title string, surname string, entry_type string"))
     out = files.bundle(store, planned).collect()

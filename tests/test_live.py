@@ -9,7 +9,8 @@ from refloom.functions.jsontext import sanitized
 from refloom.operators import control, live, reports
 from refloom.plans import check
 from refloom.queries import base
-from refloom.settings import InputError, load_settings
+from refloom.errors import InputError, Redacting, RefloomError, redact
+from refloom.settings import load_settings
 from refloom.sources import files
 
 
@@ -78,8 +79,32 @@ def test_sanitized():
 
 def test_preflight(spark):
     account = spark.createDataFrame([(None, 40, 100)], "total_searches_left int, plan_searches_left int, account_rate_limit_per_hour int")
-    r = control.preflight(spark.range(30), account).first()
-    assert (r.estimate, r.searches_left, r.allowed, r.limit, r.per_hour) == (45, 40, False, 40, 80.0)
+    lacking = spark.createDataFrame([(1, i, o, f"{i % 20}-{o}") for i in range(30) for o in (1, 2)], "doc_id int, idx int, ordinal int, cache_key string")
+    r = control.preflight(lacking, account).first()
+    assert (r.estimate, r.worst_case, r.searches_left, r.allowed, r.limit, r.per_hour) == (45, 40, 40, False, 40, 80.0)
+
+
+def test_wrong_limits(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0)], "a int, i int, t double")
+    for wrong in (lambda: control.granted(rows, ["a"], ["i"], -1), lambda: control.granted_by_all(rows, [], ["i"]), lambda: control.granted_by_all(rows, [(["a"], -1)], ["i"]), lambda: control.token_bucket(rows, "a", ["i"], F.col("t"), 0.0), lambda: control.admitted(rows, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_errors_and_logs_hold_no_secrets():
+    import logging
+
+    said = "failed: api_key=abc and " + "0" * 64 + " and topsecretvalue"
+    assert redact(said, ["topsecretvalue"]) == "failed: api_key=[REDACTED] and [REDACTED] and [REDACTED]"
+    assert "topsecretvalue" not in str(RefloomError(said, ["topsecretvalue"])) and InputError("x").exit_code == 2 and live.TransportError("x", retryable=False).exit_code == 3
+    try:
+        raise RuntimeError(said)
+    except RuntimeError:
+        import sys
+
+        record = logging.LogRecord("refloom", logging.ERROR, "x", 1, "it %s", ("topsecretvalue",), sys.exc_info())
+    out = Redacting(["topsecretvalue"]).format(record)
+    assert "topsecretvalue" not in out and "abc" not in out and "0" * 64 not in out and "Traceback" in out
 
 
 def test_settings(tmp_path):

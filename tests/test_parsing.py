@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from refloom.config import Parse
+from refloom.config import PARSE, Parse
+from refloom.functions import citations
 from refloom.functions import parsing as P
 from refloom.functions.bibtex import parse_bibtex
 from refloom.functions.summaries import parse_summary
@@ -20,10 +22,14 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("raw", "title", "surnames", "year", "venue", "doi"), CASES)
-def test_styles(raw, title, surnames, year, venue, doi):
-    f = P.parse_fields(raw)
-    assert (f["title"], [a["surname"] for a in f["authors"]], f["year"], f["venue"], f["doi"]) == (title, surnames, year, venue, doi)
+def parsed(spark, raws, cfg=PARSE):
+    rows = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").select("i", citations.parse_fields(F.col("raw"), cfg).alias("f")).collect()
+    return [r.f.asDict(recursive=True) for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_styles(spark):
+    for (_, title, surnames, year, venue, doi), f in zip(CASES, parsed(spark, [c[0] for c in CASES]), strict=True):
+        assert (f["title"], [a["surname"] for a in f["authors"]], f["year"], f["venue"], f["doi"]) == (title, surnames, year, venue, doi)
 
 
 @pytest.mark.parametrize(
@@ -39,27 +45,32 @@ def test_names(name, wanted):
 
 
 def test_year_bounds():
-    assert P.find_year("printed 2030 and 1750", Parse(as_of_year=2026)) is None
-    assert P.find_year("pages 1990-1999, 2005", Parse()).value == 2005
-    assert P.find_year("it was (1999a) or 2003", Parse())[::3] == (1999, 0.95)
+    year = lambda text: P.Prose(text, Parse(as_of_year=2026)).year
+    assert year("printed 2030 and 1750") is None
+    assert year("pages 1990-1999, 2005").value == 2005
+    assert year("it was (1999a) or 2003")[::3] == (1999, 0.95)
 
 
-def test_never_breaks():
+def test_never_breaks(spark):
     rnd = random.Random(2)
-    for _ in range(500):
-        raw = "".join(rnd.choice("AaBé .,;:()[]“”\"'0129/&-\n and et al doi:10.1000/") for _ in range(rnd.randint(0, 120)))
-        f = P.parse_fields(raw)
+    raws = [None, ""] + ["".join(rnd.choice("AaBé .,;:()[]“”\"'0129/&-\n and et al doi:10.1000/") for _ in range(rnd.randint(0, 120))) for _ in range(500)]
+    for f in parsed(spark, raws):
         assert all(0 <= v <= 1 for v in f["confidence"].values())
         assert f["title"] is None or sum(map(str.isalpha, f["title"])) >= 10
 
 
-def test_summaries():
-    assert parse_summary("J Doe, R Roe… - Journal of …, 2017 - x.org", []) == {"authors": ["J Doe", "R Roe"], "authors_truncated": True, "venue": "Journal of", "venue_truncated": True, "year": 2017, "source": "x.org"}
-    assert parse_summary("J DoeLeaves quarterly, 1989•JSTOR", ["J Doe"])["venue"] == "Leaves quarterly"
-    assert parse_summary("J DoeLeaves quarterly, 1989•JSTOR", [])["venue"] == "Leaves quarterly"
-    assert parse_summary("Nature, 2015", [])["venue"] == "Nature"
-    assert parse_summary("J Doe", [])["authors"] == ["J Doe"]
-    assert parse_summary("", []) == {"authors": [], "authors_truncated": False, "venue": None, "venue_truncated": False, "year": None, "source": None}
+SUMMARIES = [
+    ("J Doe, R Roe… - Journal of …, 2017 - x.org", [], {"authors": ["J Doe", "R Roe"], "authors_truncated": True, "venue": "Journal of", "venue_truncated": True, "year": 2017, "source": "x.org"}),
+    ("J DoeLeaves quarterly, 1989•JSTOR", ["J Doe"], {"venue": "Leaves quarterly", "source": "JSTOR"}), ("J DoeLeaves quarterly, 1989•JSTOR", [], {"venue": "Leaves quarterly"}), ("J DoeLeaves quarterly, 1989•JSTOR", None, {"venue": "Leaves quarterly"}),
+    ("Nature, 2015", [], {"venue": "Nature", "authors": []}), ("J Doe", [], {"authors": ["J Doe"]}),
+    ("", [], {"authors": [], "authors_truncated": False, "venue": None, "venue_truncated": False, "year": None, "source": None}), (None, None, {"authors": [], "venue": None}),
+]
+
+
+def test_summaries(spark):
+    rows = spark.createDataFrame([(i, s, n) for i, (s, n, _) in enumerate(SUMMARIES)], "i int, s string, n array<string>")
+    for r in rows.select("i", parse_summary(F.col("s"), F.col("n")).alias("p")).collect():
+        assert {k: r.p[k] for k in SUMMARIES[r.i][2]} == SUMMARIES[r.i][2]
 
 
 def test_bibtex():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refloom.functions import strings as S
-from refloom.functions import text
+from refloom.functions import compare, text, udfs
 
 
 def slow_lcs(a, b):
@@ -39,39 +39,44 @@ def test_fold(given, wanted):
     assert S.fold(given) == wanted
 
 
-@pytest.mark.parametrize(
-    ("a", "b"),
-    [
-        ("Two-stream networks", "2-stream networks"), ("Colour and behaviour", "Color and behavior"), ("Pre-training of models", "Pretraining of models"), ("ΔΔC T method", "delta delta CT method"),
-        ("The theatre centre", "The theater center"), ("BERT: Pre-training of deep things", "BERT"), ("Deep learning: an overview of it", "Deep learning"), ("A very long title that goes on", "A very long title that g…"),
-        ("Recognitoin of handwritten digits", "Recognition of handwritten digits"), ("The first optimisation", "The 1st optimization"),
-    ],
-)
-def test_same_titles(a, b):
-    assert S.title_status(a, b) == S.title_status(b, a) == "match"
+SAME = [
+    ("Two-stream networks", "2-stream networks"), ("Colour and behaviour", "Color and behavior"), ("Pre-training of models", "Pretraining of models"), ("ΔΔC T method", "delta delta CT method"),
+    ("The theatre centre", "The theater center"), ("BERT: Pre-training of deep things", "BERT"), ("Deep learning: an overview of it", "Deep learning"), ("A very long title that goes on", "A very long title that g…"),
+    ("Recognitoin of handwritten digits", "Recognition of handwritten digits"), ("The first optimisation", "The 1st optimization"),
+]
+OTHER = [("Attention is all you need", "Attention is all we need"), ("2-stream networks for video", "3-stream networks for video"), ("Deep learning", "Deep learning for images"), ("On birds", "On bards and their many songs")]
+CLOSE = ("Attention is all we need for sequence transduction", "Attention is all you need")
+UNLIKE = ("Completely unrelated words here", "Attention is all you need")
 
 
-@pytest.mark.parametrize(("a", "b"), [("Attention is all you need", "Attention is all we need"), ("2-stream networks for video", "3-stream networks for video"), ("Deep learning", "Deep learning for images"), ("On birds", "On bards and their many songs")])
-def test_other_titles(a, b):
-    assert S.title_status(a, b) != "match"
+def test_title_status(spark):
+    pairs = [*SAME, *((b, a) for a, b in SAME), *OTHER, CLOSE, UNLIKE, ("", ""), ("x y z", "")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", compare.title_status(F.col("a"), F.col("b")).alias("s")).collect()
+    got = {pairs[r.i]: r.s for r in rows}
+    assert all(got[a, b] == got[b, a] == "match" for a, b in SAME)
+    assert all(got[p] != "match" for p in OTHER)
+    assert (got[CLOSE], got[UNLIKE], got["", ""], got["x y z", ""]) == ("partial", "mismatch", "mismatch", "mismatch")
 
 
-def test_middle_band():
-    assert S.title_status("Attention is all we need for sequence transduction", "Attention is all you need") == "partial"
-    assert S.title_status("Completely unrelated words here", "Attention is all you need") == "mismatch"
+def test_authors(spark):
+    cases = [(["Müller", "de la Cruz"], ["H Mueller", "M Cruz"], False, 1.0), (["Smith", "Jones", "Doe"], ["A Smith"], True, 1.0), (["Smith", "Jones"], ["A Smith"], False, 0.5), ([], ["A Smith"], False, None), (["Smith"], None, None, None), (["Nguyễn"], ["T Nguyen"], False, 1.0)]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, a array<string>, b array<string>, c boolean").select("i", compare.author_share(F.col("a"), F.col("b"), F.col("c")).alias("s")).collect()
+    assert {r.i: r.s for r in rows} == {i: c[3] for i, c in enumerate(cases)}
 
 
-def test_authors():
-    assert S.author_share(["Müller", "de la Cruz"], ["H Mueller", "M Cruz"], False) == 1.0
-    assert S.author_share(["Smith", "Jones", "Doe"], ["A Smith"], True) == 1.0
-    assert S.author_share(["Smith", "Jones"], ["A Smith"], False) == 0.5
-    assert S.author_share([], ["A Smith"], False) is None
+def test_venues(spark):
+    cases = [("Adv. Neural Inf. Process. Syst.", "Advances in Neural Information Processing Systems"), ("Handbook of finance", "The Journal of Finance"), ("Journal", "Nature"), ("Nature", None)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string").select("i", compare.venue_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    got = {r.i: r.s for r in rows}
+    assert got[0] == 1.0 and got[1] < 0.7 and got[2] == 0.0 and got[3] is None
 
 
-def test_venues():
-    assert S.venue_similarity("Adv. Neural Inf. Process. Syst.", "Advances in Neural Information Processing Systems") == 1.0
-    assert S.venue_similarity("Handbook of finance", "The Journal of Finance") < 0.7
-    assert S.venue_similarity("Journal", "Nature") == 0.0
+def test_exact_fold_and_surnames(spark):
+    texts = ["Nguyễn", "e\u0301tude", "Ｆｕｌｌ　ｗｉｄｔｈ", "ﬁne", "Ёлка", "Straße & Weg", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", udfs.exact_fold(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in rows} == {i: None if t is None else S.fold(t) for i, t in enumerate(texts)}
+    names = spark.createDataFrame([(["T. Nguyễn", "A. Müller"],), (["A. Müller"],), ([],)], "n array<string>").select(udfs.exact_surname_keys(F.col("n")).alias("k")).collect()
+    assert [r.k for r in names] == [["nguyen", "muller"], ["muller"], []]
 
 
 def test_native_fold_is_exact_for_latin(spark):
