@@ -10,12 +10,13 @@ not, the walk may hope to reach the very place, so the search gives a lower boun
 went through are outlined more finely by one query, until it met none. Then the bound is reached and the walk is exact.
 
 The size of a document is the UTF-8 bytes of its text plus 8; null texts are empty. Repeated rows are rows of their own,
-in one group. An empty table gives no rows. Extra columns are not looked at.
+in one group. Slots go by parts of a shard and then by text and id; rows that agree in both take theirs in any order. An empty table gives no
+rows. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from refloom.sources.shared import stored
 N_SHARDS = 24
 #: Rows that one query sends to the driver at most, about.
 OUTLINE = 8192
+#: Rows of a shard that one task numbers, about.
+PART_ROWS = 250_000
 #: Groups whose running sums one task works out, about.
 BUCKET_GROUPS = 50_000
 
@@ -119,37 +122,18 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, outline: int = OU
     body = F.coalesce(docs["text"], F.lit("")).cast("binary")
     base = docs.select(
         docs["doc_id"], (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.sha2(body, 256).alias("key"),
-        F.spark_partition_id().alias("part"),
     )
     base = stored(base, "sizes")
+    n_parts = max(1, -(-base.count() // PART_ROWS))
     ends = group_ends(base)
     _, cuts = minimax_cuts(ends, n_shards, outline)
     keys = [r.key for r in ends.where(F.col("ends").isin(cuts[:-1])).select("key").collect()] if cuts[:-1] else []  # fewer than n_shards
     shard = reduce(Column.__add__, [(F.col("key") > k).cast("int") for k in keys], F.lit(0))
-    placed = base.withColumn("shard", shard)
-    # The parts a table was read in are of bounded size, so a part of a shard is numbered in one task whatever the copies in it.
+    # Parts by a hash of id and text are alike in size whatever copies there are, and don't depend on how the table was split.
+    placed = base.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(n_parts)))
     parts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     first = parts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
     inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("key", "doc_id"))
     return placed.withColumn("inside", inside).join(first, ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("inside") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-def greedy_capacity(sizes: list[int], n_shards: int) -> int:
-    """The same capacity for a short list of sizes, found without an outline; for tests and small tables."""
-    ends = [0]
-    for s in sizes:
-        ends.append(ends[-1] + s)
-
-    def needed(capacity: int) -> int:
-        place, n = 0, 0
-        while place < len(sizes):
-            place, n = bisect_left(ends, ends[place] + capacity + 1) - 1, n + 1
-        return n
-
-    low, high = max(sizes, default=0), ends[-1]
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if needed(mid) <= n_shards else (mid + 1, high)
-    return low
