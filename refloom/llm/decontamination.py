@@ -27,39 +27,41 @@ WINDOW, K = 10, 5
 BROADCAST_BYTES = 64 << 20
 
 
-def _least(grams: list[Column]) -> Column:
-    return F.least(*grams) if len(grams) > 1 else grams[0]
+def _least(values: list[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
 
 
-def _kept(hashes: Column, at: Column, length: int, k: int) -> tuple[Column, Column, Column]:
-    """Of the window of `length` words from place `at` (from 0): its least gram's hash, whether the window before keeps another one, and the gram's place."""
+def _kept(hashes: Column, grams: Column, length: int, k: int) -> Column:
+    """struct(length, mark, place) for each fingerprint of windows of `length` words: mark is the gram's hash, place where it starts, from 0."""
+    made = lambda mark, place: F.struct(F.lit(length).alias("length"), (mark + F.lit(length)).alias("mark"), place.cast("int").alias("place"))  # noqa: E731  marks of unlike lengths are unlike
+    starts = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     if length <= k:
-        return F.xxhash64(*(F.get(hashes, at + i) for i in range(length))), F.lit(True), at
-    grams = [F.xxhash64(*(F.get(hashes, at + j + i) for i in range(k))) for j in range(-1, length - k + 1)]
-    before, new, inner = grams[0], grams[-1], _least(grams[1:-1])
-    # Another gram is kept if the one that leaves was less than what stays, or the one that comes is as low.
-    other = (at == 0) | (new <= inner) | (before < inner)
-    mark = F.least(inner, new)
-    return mark, other, reduce(lambda e, j: F.when(grams[j + 1] == mark, at + j).otherwise(e), range(length - k + 1), at)
+        return F.transform(starts(F.size(hashes) - length), lambda s: made(F.xxhash64(*(F.get(hashes, s + i) for i in range(length))), s))
+    n = length - k + 1
+    at = lambda s, j: F.get(grams, s + j)
+
+    def other(s: Column) -> Column:
+        # The window keeps another gram than the one before if what comes is as low as the rest, or what left was lower.
+        rest = _least([at(s, j) for j in range(n - 1)])
+        return (s == 0) | (at(s, n - 1) <= rest) | (at(s, -1) < rest)
+
+    def kept(s: Column) -> Column:
+        mark = _least([at(s, j) for j in range(n)])
+        return made(mark, reduce(lambda e, j: F.when(at(s, j) == mark, s + j).otherwise(e), range(n), s))
+
+    return F.transform(F.filter(starts(F.size(grams) - n), other), kept)
 
 
 def _fingerprints(texts: DataFrame, lengths: list[int], k: int) -> DataFrame:
-    """One row for each fingerprint: the columns of texts but body, then words, length, mark, place (of the gram, from 0)."""
+    """One row for each fingerprint: the columns of texts but body, then words, length, mark, place. All that a text has is worked out in arrays of hashes, each gram's once."""
     keep = [c for c in texts.columns if c != "body"]
     words = texts.select(*keep, plain_words(F.col("body")).alias("words")).where(F.size("words") >= min(lengths))
     hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    rows = hashed.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - min(lengths))))
-    if len(lengths) == 1:
-        rows = rows.withColumn("length", F.lit(lengths[0]))
-    else:
-        rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).where(F.col("at") + F.col("length") <= F.size("words"))
-
-    def of_length(part: int) -> Column:
-        kept = [_kept(F.col("hashes"), F.col("at"), n, k)[part] for n in lengths]
-        return reduce(lambda e, i: F.when(F.col("length") == lengths[i], kept[i]).otherwise(e), range(len(lengths) - 1), kept[-1])
-
-    # Marks of unlike lengths are unlike, so that one number is the key.
-    return rows.where(of_length(1)).select(*keep, "words", "length", (of_length(0) + F.col("length")).alias("mark"), of_length(2).alias("place"))
+    last = F.size("hashes") - k
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("hashes", i + j) for j in range(k))))
+    hashed = hashed.withColumn("grams", F.when(last >= 0, grams).otherwise(F.array().cast("array<bigint>")) if max(lengths) > k else F.array().cast("array<bigint>"))
+    found = [_kept(F.col("hashes"), F.col("grams"), n, k) for n in lengths]
+    return hashed.select(*keep, "words", F.inline(F.concat(*found) if len(found) > 1 else found[0]))
 
 
 def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame | None:
