@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections import defaultdict
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,13 @@ SETTING = "spark.checkpoint.dir"
 _written: dict[str, list[str]] = defaultdict(list)
 
 
+@cache
+def _own_folder() -> str:
+    own = tempfile.mkdtemp(prefix="refloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names. A session on one machine that names none gets a temporary one, which goes with the process; any other one has to name it."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
@@ -23,10 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="refloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set(SETTING, f"file://{own}")
-    return f"file://{own}"
+    return f"file://{_own_folder()}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
