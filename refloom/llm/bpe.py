@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: States and known pairs kept at most, and known words of each of two generations.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 300_000, 300_000
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 120_000, 150_000, 80_000
 #: More than any rank.
 MANY = 1 << 60
 #: What a state holds besides its transitions, which are under bytes.

@@ -40,11 +40,11 @@ GRADES = 3
 LEAST = 0.3
 #: Letters of a word's beginnings, and words whose marks are kept.
 STEMS = (4, 5)
-MAX_WORDS = 200_000
+MAX_WORDS = 50_000
 #: A mark of the vocabulary stands in so many different training texts of one kind at least.
 LEAST_TEXTS = 3
 #: Characters of text that are worked on at once.
-PART_CHARS = 4 << 20
+PART_CHARS = 1 << 19
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -254,18 +254,18 @@ def score(docs: DataFrame, model: Severity, least: float = LEAST) -> DataFrame:
     while name in docs.columns:
         name += "_"
     columns = [f"c{i}" for i in range(len(docs.columns))]  # a name of theirs may hold a dot
-    rows = docs.select(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)), F.coalesce("text", F.lit("")).alias("body"))
+    rows, text_at = docs.toDF(*columns), docs.columns.index("text")
     verdict_type = StructType().add("severity", "double").add("toxicity", "double").add("rejected", "boolean")
-    schema = StructType(rows.schema.fields[:-1]).add("verdict", verdict_type)
+    schema = StructType([*rows.schema.fields]).add("verdict", verdict_type)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(model.vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                over = model.over(model.margins(part.column(len(columns)), marks))
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                over = model.over(model.margins(part.column(text_at).fill_null(""), marks))
                 verdict = pa.StructArray.from_arrays([pa.array(over.sum(axis=1)), pa.array(over[:, 0]), pa.array(over[:, 0] >= least)], names=["severity", "toxicity", "rejected"])
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], verdict], names=[*columns, "verdict"])
+                yield pa.RecordBatch.from_arrays([*part.columns, verdict], names=[*columns, "verdict"])
 
     return rows.mapInArrow(task, schema).toDF(*docs.columns, name)
 
