@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -42,11 +44,21 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
 
 
 #: Tables of up to this many bytes are sent to all executors; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(column: Column, kind: DataType) -> Column:
+    """About what a value takes up in memory."""
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        return F.coalesce(F.size(column), F.lit(0)) * F.lit(8 * (len(inner.fields) + 2 if isinstance(inner, StructType) else 1)) + F.lit(16)
+    if isinstance(kind, StructType):
+        return reduce(Column.__add__, (_bytes(column[f.name], f.dataType) for f in kind), F.lit(16))
+    return F.coalesce(F.octet_length(column), F.lit(0)) + F.lit(16) if kind.typeName() in ("string", "binary") else F.lit(8)
 
 
 def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table, marked for broadcast if what it holds in memory is proven to be small; its rows are counted and their sizes added up."""
-    sizes = [F.length(F.to_json(c)) if isinstance(f.dataType, (ArrayType, StructType)) else F.coalesce(F.octet_length(c), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in table.schema for c in [F.col(f"`{f.name}`")]]
-    total = table.agg(F.sum(sum(sizes, F.lit(32)))).first()[0] or 0
+    """A written table, marked for broadcast if it is proven to be small: the sizes of all its rows are added up."""
+    row = reduce(Column.__add__, (_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema), F.lit(32))
+    total = table.agg(F.sum(row)).first()[0] or 0
     return F.broadcast(table) if total <= limit else table

@@ -29,7 +29,7 @@ from refloom.sources.shared import stored
 
 CHUNK_WORDS, RUN_WORDS = 20, 30
 #: Characters of text whose lines are worked on at once.
-PART_CHARS = 4 << 20
+PART_CHARS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -178,20 +178,21 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(k_id, k_text, line, after): the runs of lines that equal an earlier one, byte by byte."""
     texts = keyed(docs)
     runs = stored(_agreeing(texts).distinct(), "repeated-runs")
-    # What repeats and what is repeated are cut from the texts in one pass.
+    # What repeats and what is repeated are cut from the texts in one pass, and meet by the hash of the earlier place and the length.
     n, f_line = F.col("after") - F.col("line"), F.col("line") + F.col("by")
-    later = runs.select("k_id", "k_text", F.lit(False).alias("is_first"), "line", n.alias("n"), "f_id", "f_text", f_line.alias("f_line"))
-    first = runs.select(F.col("f_id").alias("k_id"), F.col("f_text").alias("k_text"), F.lit(True).alias("is_first"), f_line.alias("line"), n.alias("n"), "f_id", "f_text", f_line.alias("f_line"))
+    runs = runs.withColumn("n", n).withColumn("f_line", f_line).withColumn("pair", F.xxhash64("f_id", "f_text", "f_line", "n"))
+    later = runs.select("k_id", "k_text", F.lit(False).alias("is_first"), "line", "n", "pair")
+    first = runs.select(F.col("f_id").alias("k_id"), F.col("f_text").alias("k_text"), F.lit(True).alias("is_first"), F.col("f_line").alias("line"), "n", "pair")
     wanted = later.union(first.distinct()).groupBy(F.col("k_id").alias("w_id"), F.col("k_text").alias("w_text"))
-    wanted = broadcast_if_small(stored(wanted.agg(F.collect_list(F.struct("is_first", "line", "n", "f_id", "f_text", "f_line")).alias("wanted")), "wanted"))
+    wanted = broadcast_if_small(stored(wanted.agg(F.collect_list(F.struct("is_first", "line", "n", "pair")).alias("wanted")), "wanted"))
     rows = texts.join(wanted, _of(texts, wanted, "w_id", "w_text"))
     cut = rows.select("k_id", "k_text", F.split("body", "\n").alias("lines"), "wanted")
-    cut = cut.select("k_id", "k_text", F.inline(F.transform("wanted", lambda w: F.struct(*(w[c].alias(c) for c in ("is_first", "line", "n", "f_id", "f_text", "f_line")), F.array_join(F.slice("lines", w["line"] + 1, w["n"]), "\n").alias("content")))))
+    content = lambda w: F.array_join(F.slice("lines", w["line"] + 1, w["n"]), "\n")
+    cut = cut.select("k_id", "k_text", F.inline(F.transform("wanted", lambda w: F.struct(*(w[c].alias(c) for c in ("is_first", "line", "n", "pair")), content(w).alias("content")))))
     cut = stored(cut, "repeated-chunks")
-    # Rows that agree in id and text give the first one more than once; one of them is enough to compare with.
-    as_first = cut.where("is_first").groupBy(F.col("f_id").alias("a_id"), F.col("f_text").alias("a_text"), F.col("f_line").alias("a_line"), F.col("n").alias("a_n")).agg(F.max("content").alias("as"))
-    same = F.col("f_id").eqNullSafe(F.col("a_id")) & (F.col("f_text") == F.col("a_text")) & (F.col("f_line") == F.col("a_line")) & (F.col("n") == F.col("a_n")) & (F.col("content") == F.col("as"))
-    return cut.where("not is_first").join(as_first, same).select("k_id", "k_text", "line", (F.col("line") + F.col("n")).alias("after"))
+    # Rows that agree in id and text give the first one more than once, and places whose hashes agree give several; what is cut has to equal one of them.
+    as_first = cut.where("is_first").select(F.col("pair").alias("a_pair"), F.col("content").alias("as")).distinct()
+    return cut.where("not is_first").join(as_first, (F.col("pair") == F.col("a_pair")) & (F.col("content") == F.col("as"))).select("k_id", "k_text", "line", (F.col("line") + F.col("n")).alias("after"))
 
 
 def without(docs: DataFrame, gone: DataFrame, count: str | None) -> DataFrame:
