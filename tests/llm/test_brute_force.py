@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import html.parser
 import re
 import struct
 import zlib
@@ -15,9 +16,9 @@ import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
-from refloom.llm import queries
-from refloom.llm.sharding import greedy_capacity
+from refloom.llm import quality_rules, queries, rule_ensemble, toxicity, trees, warc
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -90,6 +91,62 @@ def test_quality_rules(spark, docs, labels):
     assert np.mean(good) >= 0.95
 
 
+def held_out_labels(spark, sf):
+    """(labels to fit on, labels that the fit doesn't see): by the remainder of the id's checksum."""
+    rows = spark.read.parquet(f"{sf}/labels.parquet")
+    away = rule_ensemble.is_held_out(F.col("doc_id"))
+    return rows.where(~away), {r.doc_id: r for r in rows.where(away).collect()}
+
+
+def test_quality_rules_held_out(spark):
+    """What the base doesn't decide, by a model that didn't see these labels: good texts stay and bad ones go."""
+    sf = SF.replace("0.001", "0.01")
+    seen, away = held_out_labels(spark, sf)
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules.judge(documents, quality_rules.fit(documents, seen)).collect()}
+    for label in (0, 1):
+        right = [got[i].kept == bool(label) for i, x in away.items() if x.quality == label and not got[i].base_failed]
+        assert len(right) >= 8 and np.mean(right) >= 0.9
+
+
+def test_toxicity_held_out(spark):
+    """Of labels that the fit doesn't see, nine in ten toxic texts are rejected, and one in fifty clean ones at most."""
+    sf = SF.replace("0.001", "0.1")
+    seen, away = held_out_labels(spark, sf)
+    got = {r.doc_id: r for r in toxicity.rate(spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id"), "doc_id", "left_semi"), seen).collect()}
+    toxic, clean = ([got[i].rejected for i, x in away.items() if x.toxic == label] for label in (1, 0))
+    assert len(toxic) >= 80 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
+
+
+def plain_margin(model, row):
+    """The trees for one row, from node to node."""
+    out = model.bias
+    for node in model.roots:
+        while model.feature[node] >= 0:
+            node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+        out += model.value[node]
+    return out
+
+
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 5))
+    model = trees.boost(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), trees=12, depth=3, monotone={0: 1})
+    assert model.margin(x) == pytest.approx(np.array([plain_margin(model, row) for row in x]))
+
+
+def test_rules_equal_a_plain_reading(spark):
+    """The scores of op1 against the rules of its model, read one after the other for each text's statistics."""
+    documents, marks = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    model = rule_ensemble.fit(documents, marks)
+    rows = rule_ensemble.statistics(documents.select(F.col("doc_id").alias("k_id"), F.coalesce("text", F.lit("")).alias("body"))).collect()
+    got = by_id(spark, "op1_rule_ensemble")
+    assert model.rules
+    for r in rows:
+        margin = model.bias + sum(rule.weight for rule in model.rules if all((r[stat] <= t) == at_most for stat, at_most, t in rule.bounds))
+        assert got[r.k_id].score == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
 def test_toxicity(spark, labels):
     got = by_id(spark, "op4_toxicity")
     assert np.mean([got[i].rejected == bool(x["toxic"]) for i, x in labels.items()]) >= 0.95
@@ -97,6 +154,15 @@ def test_toxicity(spark, labels):
     assert severe[1] > severe[0] + 0.5
 
 
+def least_capacity(sizes, n_shards):
+    """The least largest sum of n_shards runs of the sizes, by dynamic programming over all cuts."""
+    sums = np.r_[0, np.cumsum(sizes)]
+    best = sums.astype(float)  # of the first i sizes in one run
+    for _ in range(n_shards - 1):
+        best = np.array([0.0, *(np.maximum(best[: i + 1], sums[i] - sums[: i + 1]).min() for i in range(1, len(sums)))])
+    return int(best[-1])
+
+
 def test_sharding(spark, docs):
     got = by_id(spark, "op5_sharding")
     sizes, groups, slots = collections.Counter(), collections.Counter(), collections.defaultdict(list)
@@ -106,7 +172,7 @@ def test_sharding(spark, docs):
         sizes[r.shard] += r["size"]
         groups[hashlib.sha256(data).hexdigest()] += len(data) + 8
         slots[r.shard].append(r.slot)
-    assert max(sizes.values()) == greedy_capacity([groups[k] for k in sorted(groups)], 24)
+    assert max(sizes.values()) == least_capacity([groups[k] for k in sorted(groups)], 24)
     assert set(sizes) <= set(range(24))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     same = collections.defaultdict(set)
@@ -167,6 +233,49 @@ def test_bpe(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256((d["text"] or "").encode()).hexdigest()
 
 
+class Reader(html.parser.HTMLParser):
+    """The visible text and what is said about a page, by another reader of HTML."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.title, self.language, self.inside = [], [], None, None, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        self.inside += [tag] if tag in ("script", "style", "title", "head") else []
+        self.links += [attrs["href"]] if tag == "a" and attrs.get("href") else []
+        self.language = self.language or (attrs.get("lang") if tag == "html" else None)
+        self.out += ["\n"] if tag in warc._BREAKS and not self.inside else []
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            self.inside.remove(tag)
+        self.out += ["\n"] if tag in warc._BREAKS and not self.inside else []
+
+    def handle_data(self, data):
+        if "title" in self.inside:
+            self.title = (self.title or "") + data
+        elif not self.inside:
+            self.out.append(data)
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.out).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_warc_blocks(spark):
+    """Both blocks of every page against another reader of HTML."""
+    rows = {(r.page_id, r.record_type): r.block for r in queries.QUERIES["op8_warc_derivatives"](spark, SF).collect()}
+    for p in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        page = Reader(p["html"])
+        text = rows[p["page_id"], "conversion"]
+        assert [x for x in text.split("\n") if x] == page.text().split("\n")
+        fields = [("title", page.title and " ".join(page.title.split())), ("language", page.language), ("html-length", len(p["html"].encode())), ("text-length", len(text.encode())), ("outlinks", len(page.links)), *(("outlink", x) for x in page.links)]
+        assert rows[p["page_id"], "metadata"] == "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
+
+
 def test_warc(spark):
     pages = pq.read_table(f"{SF}/pages.parquet").to_pylist()
     rows = queries.QUERIES["op8_warc_derivatives"](spark, SF).collect()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import time
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from refloom.llm import bpe, decontamination, licenses, line_dedup, quality_rules, rule_ensemble, sharding, simhash, toxicity, warc
+from tests.llm.test_brute_force import least_capacity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_id string, body string, hash string, words int, label string, n_words string, key string, part string, line string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_id string, body string, hash string, words int, label string, n_words string, key string, part string, line string, k_gone string, k_removed string, k_text string, spans string, `row` string, `a.b` string"
 PASSAGE = " ".join(f"passage{i}" for i in range(60))
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 ROWS = [
@@ -34,7 +38,7 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "x", "x", 1, "x", "x", "x", "x", "x") for i, t in ROWS], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", "x", "x", 1, *["x"] * 11) for i, t in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +108,8 @@ def test_sharding(docs, none):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert len({r.shard for r in rows if r.text_crc32 == 0}) == 1  # empty and null texts are one group
     assert sharding.shard_documents(none).count() == 0
+    slots = lambda rows: sorted(((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(rows, 4).collect()), key=str)
+    assert slots(docs.repartition(7)) == slots(docs.coalesce(1))  # whatever the splits
 
 
 def test_sharding_equals_the_plain_search(spark):
@@ -117,7 +123,7 @@ def test_sharding_equals_the_plain_search(spark):
         for t in texts:
             k = hashlib.sha256(t.encode()).hexdigest()
             groups[k] = groups.get(k, 0) + len(t) + 8
-        best = sharding.greedy_capacity([groups[k] for k in sorted(groups)], 5)
+        best = least_capacity([groups[k] for k in sorted(groups)], 5)
         sizes = {}
         for r in sharding.shard_documents(docs, 5, outline=16).collect():
             sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
@@ -150,6 +156,10 @@ def test_line_dedup(docs, none):
     assert next(r.n_chars for r in rows if r.doc_id == 7) == len("a start of its own\nand an end")
     assert text[1] == text[5]  # a short line is no passage
     assert line_dedup.dedup_lines(none).count() == 0
+    out = line_dedup.dedup_lines(docs, "lines_gone")
+    assert out.columns == [*docs.columns, "lines_gone"] and {r.k_gone for r in out.collect()} == {r.k_removed for r in out.collect()} == {"x"}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(docs, "k_gone")
 
 
 def test_toxicity(docs, none, labels):
@@ -175,7 +185,7 @@ def test_bpe(docs, none):
     args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = bpe.encode_documents(docs, *args, with_ids=True).collect()
     assert len(rows) == len(ROWS)
-    tok = bpe.Tokenizer(bpe.read_ranks(args[0]), args[1])
+    tok = bpe.Tokenizer(bpe.read_ranks(Path(args[0]).read_bytes()), args[1])
     texts = {hashlib.sha256((t or "").encode()).hexdigest(): t or "" for _, t in ROWS}
     assert all(tok.decode_bytes(r.ids).decode() == texts[r.decoded_sha256] and r.n_tokens == len(r.ids) for r in rows)
     assert all(r.n_tokens == 0 for r in rows if r.doc_id in (2, 3))
@@ -199,13 +209,48 @@ def test_warc(spark, tmp_path):
     assert all(f["warc-block-digest"] == warc.digest(block) for f, block in again)
 
 
+def record(number, body, more="", kind="response"):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{number}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: http://x.org/{number}\r\n{more}Content-Length: {len(body)}\r\n\r\n"
+    return head.encode() + body + b"\r\n\r\n"
+
+
 def test_warc_reads_crawls(spark, tmp_path):
-    body = b"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Type: text/html\r\n\r\n<p>caf\xc3\xa9</p>"
-    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: http://x.org/\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n" + head + body + b"\r\n\r\n")
-    rows = warc.derivatives(warc.read_warc(spark, str(tmp_path / "a.warc"))).collect()
-    assert [r.block for r in rows if r.record_type == "conversion"] == ["café"]
-    assert all(r.refers_to == "<urn:uuid:1>" and r.date == "2024-01-01T00:00:00Z" and "WARC-Source-Server: x\r\n" in r.headers for r in rows)
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Type: text/html%s\r\n%s\r\n"
+    latin = "<p>café</p>".encode("latin-1")
+    bodies = {
+        1: http % (b"", b"") + "<p>café</p>".encode(),
+        2: http % (b"; charset=ISO-8859-1", b"") + latin,
+        3: http % (b"", b"") + b"<meta charset='iso-8859-1'>" + latin,
+        4: http % (b"", b"") + latin,  # neither said nor UTF-8
+        5: http % (b"", b"Content-Encoding: gzip\r\n") + gzip.compress("<p>café</p>".encode()),
+        6: http % (b"", b"Transfer-Encoding: chunked\r\n") + b"5\r\n<p>ca\r\n6;x=y\r\nf\xc3\xa9</p\r\n1\r\n>\r\n0\r\n\r\n",
+        7: http % (b"", b"Content-Encoding: gzip\r\n") + "<p>café</p>".encode(),  # undone by the crawler
+        8: http % (b"", b"") + "<p>café</p>\r\n\r\nWARC/1.0\r\nno record".encode(),
+    }
+    data = record(0, b"hi", kind="warcinfo") + b"".join(record(i, b, "WARC-Payload-Digest: sha1:SAID\r\nWARC-Block-Digest: sha1:BLOCK\r\n" if i == 1 else "") for i, b in bodies.items())
+    data += record(9, http % (b"", b"") + b"<p>cut" + b"x" * 50)[:-40]
+    (tmp_path / "a.warc").write_bytes(data)
+    members = [record(i, b) for i, b in bodies.items()]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    for name in ("a.warc", "b.warc.gz"):
+        read = warc.read_warc(spark, str(tmp_path / name)).coalesce(1)
+        rows = {(r.refers_to, r.record_type): r for r in warc.derivatives(read).collect()}
+        for i in bodies:
+            r = rows[f"<urn:uuid:{i}>", "conversion"]
+            assert r.block == ("café" if i != 8 else "café\nWARC/1.0\nno record"), (name, i)
+            payload = bodies[i].partition(b"\r\n\r\n")[2]
+            assert r.source_digest == ("sha1:SAID" if (name, i) == ("a.warc", 1) else warc.digest(payload))
+            assert f"WARC-Refers-To-Payload-Digest: {r.source_digest}\r\n" in r.headers and "WARC-Source-Server: x\r\n" in r.headers and r.date == "2024-01-01T00:00:00Z"
+        assert ("WARC-Source-Block-Digest: sha1:BLOCK\r\n" in rows["<urn:uuid:1>", "metadata"].headers) == (name == "a.warc")
+    cut = warc.derivatives(warc.read_warc(spark, str(tmp_path / "a.warc"))).where("refers_to = '<urn:uuid:9>'").collect()
+    assert len(cut) == 2 and any("source-truncated: true" in r.block for r in cut)
+
+
+@pytest.mark.parametrize("page", ["<a ", "<title>", "<!--", "<script>", '<a href="', "<", "<a href=x>", "<head>", "&#", "<p", "</", "<title></title", "a\n "])
+def test_warc_hostile_pages(page):
+    began = time.time()
+    warc.read_page(page * (1_000_000 // len(page)))
+    assert time.time() - began < 3
 
 
 def test_stages(spark, sf, docs, none):

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from refloom.llm import bpe, line_dedup, quality_rules, rule_ensemble, simhash, toxicity, trees
+from refloom.llm import bpe, decontamination, licenses, line_dedup, quality_rules, queries, rule_ensemble, simhash, toxicity, trees
+from tests.conftest import SF
 
 
 def brute_components(group, fps, most):
@@ -67,7 +73,7 @@ def test_components_of_a_long_chain(spark):
 
 @pytest.fixture(scope="module")
 def tok():
-    return bpe.Tokenizer(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    return bpe.Tokenizer(bpe.read_ranks(Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()), public_tokenizers.PATTERN)
 
 
 def test_transducer_equals_the_merge_rule(tok):
@@ -100,38 +106,79 @@ def test_streaming_decode(tok):
     assert machine.end() == "�"
 
 
-def test_chunks_shift():
-    rnd = random.Random(4)
-    lines = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(12)) + str(i) for i in range(200)]
-    whole = {c for _, _, c in line_dedup.chunks("\n".join(lines))}
-    moved = {c for _, _, c in line_dedup.chunks("\n".join(["put in before", *lines[:100], "and here", *lines[100:]]))}
-    assert len(whole & moved) >= 0.9 * len(whole)
-    for a, b, content in line_dedup.chunks("\n".join(lines)):
-        assert content == "\n".join(lines[a:b]).encode()
+def plain_chunks(text):
+    """(first line, line after the last) of each chunk, by the definition: one run of lines after the other."""
+    lines = text.split("\n")
+    n = [len(line.encode().split()) for line in lines]
+    hashes = np.array([xxhash.xxh64_intdigest(line.encode(), 7) for line in lines], np.uint64)
+    rolled = lambda a, b: int(line_dedup.window_hashes(hashes[a:b], np.array([0]), np.array([b - a]))[0])
+    runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)]
+    holds = lambda a, b, least: sum(n[a:b]) >= least
+    windows = [(a, b) for a, b in runs if holds(a, b, line_dedup.CHUNK_WORDS) and not holds(a + 1, b, line_dedup.CHUNK_WORDS) and not holds(a, b - 1, line_dedup.CHUNK_WORDS)]
+    chosen = set()
+    for a, b in runs:
+        if holds(a, b, line_dedup.RUN_WORDS) and not holds(a, b - 1, line_dedup.RUN_WORDS):
+            inside = [w for w in windows if a <= w[0] and w[1] <= b]
+            chosen.add(min(inside, key=lambda w: (rolled(*w), -w[0])))
+    return sorted(chosen)
 
 
 def brute_lines_removed(texts):
-    """For each text the places of lines in passages that an earlier place holds: every run of every text is looked at."""
+    """For each text the places of lines that an earlier place holds, followed from each chunk that stands there."""
     first, out = {}, []
-    for i, text in enumerate(texts):
-        lines = text.split("\n")
-        n = [len(line.split()) for line in lines]
+    lines = [t.split("\n") for t in texts]
+    found = [plain_chunks(t) for t in texts]
+    for i, of in enumerate(found):
+        for a, b in of:
+            first.setdefault(tuple(lines[i][a:b]), (i, a))
+    for i, of in enumerate(found):
         gone = set()
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                if sum(n[a:b]) >= (line_dedup.LEAST_WORDS if b - a > 1 else line_dedup.LONG_WORDS):
-                    if first.setdefault(tuple(lines[a:b]), (i, a)) != (i, a):
-                        gone |= set(range(a, b))
+        for a, b in of:
+            j, at = first[tuple(lines[i][a:b])]
+            if (j, at) == (i, a):
+                continue
+            by, own, other = at - a, lines[i], lines[j]
+            same = lambda k: 0 <= k < len(own) and 0 <= k + by < len(other) and own[k] == other[k + by]  # noqa: B023, E731
+            for way in (1, -1):
+                k = a
+                while same(k):
+                    gone.add(k)
+                    k += way
         out.append(gone)
     return out
 
 
-def test_passages_of_short_lines(spark):
+def without(texts, gone):
+    return ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in g) for t, g in zip(texts, gone, strict=True)]
+
+
+def test_chunks_shift():
+    rnd = random.Random(4)
+    lines = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(1, 12))) + str(i) for i in range(200)]
+    of = lambda lines: {tuple(lines[a:b]) for a, b in plain_chunks("\n".join(lines))}
+    whole, moved = of(lines), of(["put in before", *lines[:100], "and here", *lines[100:]])
+    assert len(whole & moved) >= 0.9 * len(whole)
+
+
+def test_chunks_of_many_texts_equal_the_definition():
+    rnd = random.Random(9)
+    texts = ["", "a", "\n\n"] + ["\n".join(" ".join(rnd.choice("abc") for _ in range(rnd.choice((0, 1, 3, 9, 19, 20, 31, 70)))) for _ in range(rnd.randrange(12))) for _ in range(150)]
+    hashes, words, sizes = line_dedup._read_lines(texts)
+    upto = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    a, b, _ = line_dedup.chunks(hashes, words, upto[of])
+    got = {i: [] for i in range(len(texts))}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        got[int(of[x])].append((x - int(upto[of[x]] - sizes[of[x]]), y - int(upto[of[x]] - sizes[of[x]])))
+    assert got == {i: plain_chunks(t) for i, t in enumerate(texts)}
+
+
+def test_repeated_passages(spark, monkeypatch):
     rnd = random.Random(7)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
     line = lambda n: " ".join(word() for _ in range(n))
     texts, planted = [], []
-    for shape in ([30, 30], [15] * 4, [6] * 9, [39, 1, 0, 12], [3] * 18, [18, 0, 0, 33, 2]):
+    for shape in ([30, 30], [15] * 4, [6] * 9, [39, 1, 0, 12], [3] * 18, [18, 0, 0, 33, 2], [52], [1] * 55):
         for _ in range(6):
             passage = [line(n) for n in shape]
             for _ in range(2):
@@ -141,16 +188,24 @@ def test_passages_of_short_lines(spark):
     few = [line(n) for n in (2, 9, 14, 21, 30, 45)]  # texts of few lines, in which runs overlap and repeat one another
     texts += ["\n".join(rnd.choice(few) for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.k_removed) for r in line_dedup.dedup_lines(docs).collect()}
     gone = brute_lines_removed(texts)
-    for i, (text, places) in enumerate(zip(texts, gone, strict=True)):
-        assert got[i] == ("\n".join(x for k, x in enumerate(text.split("\n")) if k not in places), len(places))
+    for small in (32 << 20, -1):  # by broadcasts, and by shuffles
+        monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda table, small=small: F.broadcast(table) if small > 0 else table)
+        got = {r.doc_id: (r.text, r.gone) for r in line_dedup.dedup_lines(docs, "gone").collect()}
+        assert got == {i: (t, len(g)) for i, (t, g) in enumerate(zip(without(texts, gone), gone, strict=True))}
     for i, (at, n) in enumerate(planted):
         assert gone[i] == (set(range(at, at + n)) if i % 2 else set())
     left = {x for t, _ in got.values() for x in t.split("\n")}
     assert left - {""} == {x for t in texts for x in t.split("\n")} - {""}  # no line is lost altogether
 
 
+def test_whole_table_of_lines(spark):
+    rows = sorted(((d["doc_id"], d["text"]) for d in pq.read_table(f"{SF}/documents.parquet").to_pylist()), key=lambda d: d[0])
+    wanted = without([t or "" for _, t in rows], brute_lines_removed([t or "" for _, t in rows]))
+    got = {r.doc_id: r.text for r in queries.QUERIES["op7_line_dedup"](spark, SF).collect()}
+    assert got == {i: t if t is None else w for (i, t), w in zip(rows, wanted, strict=True)}
+
+
 def test_monotone_trees():
     rng = np.random.default_rng(5)
     x = rng.random((2000, 3))
@@ -204,3 +259,67 @@ def test_repeated_words():
     assert quality_rules.repeated(b"a b c".split()) == 0
     assert quality_rules.repeated([b"z"] * 7) == 7
 
+
+
+def test_winnowing_finds_every_span_of_a_window(spark):
+    """Every span of ten words of an item, wherever it stands in a text and whatever its grams are, repeated ones too."""
+    rnd = random.Random(12)
+    items = [(i, " ".join(rnd.choice("abcd") if i % 2 else f"w{rnd.randrange(50)}" for _ in range(rnd.choice((1, 2, 4, 5, 6, 9, 10, 11, 40))))) for i in range(30)]
+    docs = []
+    for n, (_, text) in enumerate(items):
+        w = text.split()
+        for at in range(max(1, len(w) - 9)):
+            around = [[f"x{n}y{at}z{k}" for k in range(rnd.randrange(8))] for _ in range(2)]
+            docs.append((len(docs), " ".join([*around[0], *w[at : at + 10], *around[1]])))
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    windows = {}
+    for i, text in items:
+        w = text.split()
+        for at in range(len(w) - min(10, len(w)) + 1):
+            windows.setdefault(tuple(w[at : at + 10]), set()).add(str(i))
+    for limit in (decontamination.BROADCAST_BYTES, 0):
+        got = {r.k_id: r for r in decontamination.contamination(documents, benchmark, broadcast_bytes=limit).collect()}
+        for i, text in docs:
+            w, hit, found = text.split(), set(), set()
+            for n in {len(k) for k in windows}:
+                for at in range(len(w) - n + 1):
+                    if s := windows.get(tuple(w[at : at + n])):
+                        hit |= set(range(at, at + n))
+                        found |= s
+            assert hit and (got[i].n_hit, got[i].n_items) == (len(hit), len(found))
+
+
+def test_one_scan_for_ten_lengths(spark):
+    benchmark = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n))) for n in range(1, 12)], "item_id long, text string")
+    hits = decontamination.hit_spans(decontamination.keyed(spark.read.parquet(f"{SF}/documents.parquet")), benchmark)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
+def test_edited_license_texts(spark):
+    """A license with words put in, left out and replaced is found; its words in another order, or a mixture of others, are not."""
+    rnd = random.Random(3)
+    texts = {label: phrase.split() for label, base, phrase in licenses.TEMPLATES if not base and len(phrase.split()) > 40}
+    docs, wanted = [], []
+    for label, words in texts.items():
+        edited = list(words)
+        for _ in range(len(words) // 25):
+            at = rnd.randrange(len(edited))
+            edited[at : at + 1] = rnd.choice([[], ["put", "in"], ["other"]])
+        mixed = rnd.sample(words, len(words))
+        for body, found in ((edited, True), (mixed, False), (words[: len(words) // 2], False)):
+            docs.append((len(docs), "some words before " + " ".join(body) + " and some after"))
+            wanted.append((label, found))
+    rows = {r.k_id: r.labels.split(",") for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(label, label in rows[i]) for i, (label, _) in enumerate(wanted)] == wanted
+
+
+def test_batches_of_marks_equal_single_texts():
+    texts = ["Bad BAD word", "", "a é É bad-word 12 x", "bad " * 50]
+    known = {m: i for i, m in enumerate(sorted({"bad", "word", "^word", "é", "12"}))}
+    row, column, n = toxicity.Marks(known).counted(pa.array(texts))
+    got = {}
+    for r, c, k in zip(row.tolist(), column.tolist(), n.tolist(), strict=True):
+        got.setdefault(r, {})[c] = k
+    names = {i: m for m, i in known.items()}
+    assert {r: {names[c]: k for c, k in of.items()} for r, of in got.items()} == {0: {"bad": 2, "word": 1, "^word": 1}, 2: {"é": 2, "bad": 1, "word": 1, "^word": 1, "12": 1}, 3: {"bad": 50}}
