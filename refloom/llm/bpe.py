@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from refloom.llm.common import lean
+
 #: States and known pairs kept at most, and known words of each of two generations.
 MAX_STATES, MAX_PAIRS, MAX_WORDS = 120_000, 150_000, 80_000
 #: More than any rank.
@@ -372,6 +374,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(shipped.value, pattern)
         for batch in batches:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -62,3 +65,21 @@ def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_BYTES) -> DataFr
     row = reduce(Column.__add__, (_bytes(F.col(f"`{f.name}`"), f.dataType) for f in table.schema), F.lit(32))
     total = table.agg(F.sum(row)).first()[0] or 0
     return F.broadcast(table) if total <= limit else table
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(task: Task) -> Task:
+    """The task, after which its worker gives back what it has freed: workers are used again, and what Arrow and the C library hold would add up over the stages."""
+
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+                trim(0)
+
+    return run

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refloom.llm.common import broadcast_if_small, keyed
+from refloom.llm.common import broadcast_if_small, keyed, lean
 from refloom.sources.shared import stored
 
 CHUNK_WORDS, RUN_WORDS = 20, 30
@@ -93,6 +93,7 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
     """A row for each chunk: k_id, k_text, hash, line, after, n_lines (of its text)."""
     schema = texts.select("k_id", "k_text").schema.add("hash", "long").add("line", "integer").add("after", "integer").add("n_lines", "integer")
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _parts(batch, 2):
@@ -114,6 +115,7 @@ def _followed(rows: DataFrame) -> DataFrame:
     keep = ["k_id", "k_text", "f_id", "f_text", "by"]
     schema = rows.select(*keep).schema.add("line", "integer").add("after", "integer")
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, starts, stops = [], [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from refloom.llm.common import WORD_BREAK
+from refloom.llm.common import WORD_BREAK, lean
 from refloom.llm.trees import sigmoid
 from refloom.sources.shared import stored
 
@@ -200,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     if len(kinds) < 2:
         return nothing
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for b in batches:
@@ -224,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample_rows:
     if not known:
         return nothing
 
+    @lean
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(known)
         for b in batches:
@@ -258,6 +260,7 @@ def score(docs: DataFrame, model: Severity, least: float = LEAST) -> DataFrame:
     verdict_type = StructType().add("severity", "double").add("toxicity", "double").add("rejected", "boolean")
     schema = StructType([*rows.schema.fields]).add("verdict", verdict_type)
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Marks(model.vocabulary)
         for batch in batches:
