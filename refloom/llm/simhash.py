@@ -178,33 +178,6 @@ class GrayIndex:
         found = [_spanning(labels, a, b, diffs) for a, b, diffs in self.close(most, labels)]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def nearest(self, most: int, known: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row but those of its group's largest known component, the `count` closest rows of other components. known: a label for each row."""
-        order = np.lexsort((known, self.group))
-        new = np.r_[True, (known[order][1:] != known[order][:-1]) | (self.group[order][1:] != self.group[order][:-1])]
-        start, which = np.flatnonzero(new), np.cumsum(new) - 1
-        sizes = np.diff(np.r_[start, len(order)])
-        labels = np.empty(len(known), np.int64)
-        labels[order] = which
-        # The last component of a group, by size, is its largest.
-        of = self.group[order][start]
-        by_size = np.lexsort((sizes, of))
-        largest = by_size[np.r_[of[by_size][1:] != of[by_size][:-1], True]]
-        outside = ~np.isin(labels, largest)
-        best = np.zeros((3, 0), np.int64)
-        for a, b, diffs in self.close(most, labels):
-            here, there, n = np.r_[a, b], np.r_[b, a], np.r_[diffs, diffs]
-            wanted = outside[here] & (labels[here] != labels[there])
-            if not wanted.any():
-                continue
-            best = np.concatenate([best, np.stack([here[wanted], n[wanted], there[wanted]])], axis=1)
-            best = best[:, np.lexsort(best[::-1])]
-            best = best[:, np.r_[True, (best[:, 1:] != best[:, :-1]).any(axis=0)]]
-            first = np.flatnonzero(np.r_[True, best[0][1:] != best[0][:-1]])
-            place = np.arange(best.shape[1]) - np.repeat(first, np.diff(np.r_[first, best.shape[1]]))
-            best = best[:, place < count]
-        return best[0], best[2]
-
     def _children(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each pair of a child of a[i] and a child of b[i], the same pair once, and i."""
         at = self.levels[level]
